@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import bind, strip
 
 # Named character references that are decoded ('&amp;' last).
 ENTITIES = (
@@ -42,7 +42,7 @@ def _decode_numeric(text: Column) -> Column:
     parts = F.split(text, "&#(?=[0-9]{1,7};|[xX][0-9a-fA-F]{1,6};)")
 
     def decoded(part: Column) -> Column:
-        body = F.substring_index(part, ";", 1)
+        body = F.substring_index(part, ";", 1)  # at most seven signs
         number = F.when(
             F.lower(F.substring(body, 1, 1)) == "x", F.conv(F.substr(body, F.lit(2)), 16, 10)
         ).otherwise(body)
@@ -54,7 +54,7 @@ def _decode_numeric(text: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    text = _decode_numeric(text)
+    text = bind(text, _decode_numeric)
     for entity, plain in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(plain))
     return text
@@ -74,10 +74,13 @@ def without_boilerplate(html: Column) -> Column:
 def html_to_text(html: Column) -> Column:
     """Text of the body without its first header and first h1; of the whole page
     if it has no body."""
-    page = without_boilerplate(html)
-    body = F.regexp_extract(page, _BODY, 1)
-    inner = _drop_first(_drop_first(body, "header"), "h1")
-    return F.when(page.rlike(r"(?i)<body\b"), visible_text(inner)).otherwise(visible_text(page))
+
+    def text(page: Column) -> Column:
+        body = F.regexp_extract(page, _BODY, 1)
+        inner = _drop_first(_drop_first(body, "header"), "h1")
+        return visible_text(F.when(page.rlike(r"(?i)<body\b"), inner).otherwise(page))
+
+    return bind(without_boilerplate(html), text)
 
 
 def article_title(html: Column) -> Column:
@@ -93,10 +96,13 @@ def article_text(html: Column) -> Column:
 
 def page_title(html: Column) -> Column:
     """First h1, else the title element, else null."""
-    page = without_boilerplate(html)
-    heading = visible_text(F.regexp_extract(page, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
-    title = visible_text(F.regexp_extract(page, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
-    return F.coalesce(F.nullif(heading, F.lit("")), F.nullif(title, F.lit("")))
+
+    def title(page: Column) -> Column:
+        heading = visible_text(F.regexp_extract(page, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
+        named = visible_text(F.regexp_extract(page, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
+        return F.coalesce(F.nullif(heading, F.lit("")), F.nullif(named, F.lit("")))
+
+    return bind(without_boilerplate(html), title)
 
 
 def post_body_text(html: Column) -> Column:

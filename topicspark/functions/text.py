@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,12 @@ _URL = (
 )
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it
+    (also inside lambdas, where an inlined expression would run per element)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, _STRIP, "")
 
@@ -86,7 +94,7 @@ def tokens(text: Column) -> Column:
 def token_ngrams(items: Column, low: int, high: int, joiner: str = " ") -> Column:
     """All n-grams of an array of strings for n in ``low..high``."""
 
-    def of(n: int) -> Column:
+    def of(items: Column, n: int) -> Column:
         if n == 1:
             return items
         grams = F.transform(
@@ -95,17 +103,19 @@ def token_ngrams(items: Column, low: int, high: int, joiner: str = " ") -> Colum
         )
         return F.when(F.size(items) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    if low == high == 1:
+        return items
+    return bind(items, lambda w: F.concat(*[of(w, n) for n in range(low, high + 1)]))
 
 
 def char_ngrams(text: Column, low: int, high: int) -> Column:
     """Lower-cased character n-grams after collapsing whitespace runs."""
     flat = F.regexp_replace(F.lower(text), r"[\s\x0b\x1c-\x1f\x85\p{Z}]+", " ")
 
-    def of(n: int) -> Column:
-        return F.regexp_extract_all(flat, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    def of(text: Column, n: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    return bind(flat, lambda t: F.concat(*[of(t, n) for n in range(low, high + 1)]))
 
 
 def add_label_prefix(label: Column) -> Column:

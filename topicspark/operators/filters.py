@@ -98,11 +98,11 @@ def publisher_projection(df: DataFrame, payload: str, text_of) -> DataFrame:
 
     article = F.from_json(F.col(payload), PUBLISHER)
     none = F.array().cast("array<string>")
-    rows = df.withColumn("_a", article.getField("data"))
+    rows = df.withColumn("_a", article["data"])
     return rows.select(
         *[c for c in df.columns if c != payload],
         text_of(F.coalesce("_a.content", F.lit(""))).alias("fulltext"),
         F.coalesce("_a.article_title", F.lit("")).alias("title"),
-        F.coalesce(F.transform("_a.author", lambda a: a.nickname), none).alias("creators"),
-        F.coalesce(F.transform("_a.topic", lambda t: t.alias), none).alias("tags"),
+        F.coalesce(F.transform("_a.author", lambda a: a["nickname"]), none).alias("creators"),
+        F.coalesce(F.transform("_a.topic", lambda t: t["alias"]), none).alias("tags"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("records",)
+FAMILIES = ("records", "texts", "joins")
 
 
 def _merged(attribute: str) -> dict:

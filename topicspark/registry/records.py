@@ -12,32 +12,9 @@ from ..operators import labels as L
 from ..plans import dataset as D
 from ..sources import tables as T
 from . import sql as S
+from .common import family, joined, n_long, tag_ids
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return add
-
-
-def joined(column):
-    return F.array_join(F.array_sort(column), "|")
-
-
-def tag_ids(df):
-    return df.withColumn("labels", P.select_tag_field(F.col("tags")))
-
-
-def n_long(column):
-    return F.length(column).cast("bigint")
-
+QUERIES, ORACLES, query = family()
 
 # --- filters and projections ---------------------------------------------------------
 
@@ -318,7 +295,8 @@ def label_rank(spark, sf):
     + _rank_sql("SELECT unnest(creators) AS creator FROM infos", "creator", "(SELECT count(*) FROM infos)", V.DASHBOARD_TOP),
 )
 def creator_rank(spark, sf):
-    return _rounded(L.creator_rank(P.app_dataset(T.infos(spark, sf, with_url=True)), V.DASHBOARD_TOP))
+    creators = T.infos(spark, sf).select(F.transform("creators", lambda c: c.label).alias("creators"))
+    return _rounded(L.creator_rank(creators, V.DASHBOARD_TOP))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import fixed_values as V
+from ..functions import html as H
 
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 URL = V.URL_PATTERN[: -len(r"\s")] + SPACE
@@ -117,3 +118,58 @@ scores AS (
          ({hash32(seed, 'i.doc_id', 'f.label')} % 1000) / 1000.0::DOUBLE AS proba
   FROM infos i, (SELECT label FROM frequent) f
 )"""
+
+
+# --- html ------------------------------------------------------------------------------
+
+BODY = r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)"
+ARTICLE = r"(?is)<article\b[^>]*>(.*?)(?:</article\s*>|\z)"
+
+
+def plain_page(x: str) -> str:
+    pattern = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+    return f"regexp_replace({x}, '{pattern}', '', 'g')"
+
+
+def drop_first(x: str, element: str) -> str:
+    return rf"regexp_replace({x}, '(?is)<{element}\b.*?</{element}\s*>', '')"
+
+
+def entities(x: str) -> str:
+    for name, plain in H.ENTITIES:
+        plain = plain.replace("'", "''")
+        x = f"replace({x}, '{name}', '{plain}')"
+    return x
+
+
+def visible(x: str) -> str:
+    inner = SPACE[:-1] + r"\x01]"
+    cut = f"regexp_replace({x}, '<[^>]*>', chr(1), 'g')"
+    return strip(entities(rf"regexp_replace({cut}, '{inner}*\x01{inner}*', ' ', 'g')"))
+
+
+def html_text(x: str) -> str:
+    page = plain_page(x)
+    body = f"regexp_extract({page}, '{BODY}', 1)"
+    inner = drop_first(drop_first(body, "header"), "h1")
+    return rf"CASE WHEN regexp_matches({page}, '(?i)<body\b') THEN {visible(inner)} ELSE {visible(page)} END"
+
+
+def element_text(x: str, element: str) -> str:
+    return visible(rf"regexp_extract({x}, '(?is)<{element}\b[^>]*>(.*?)</{element}\s*>', 1)")
+
+
+def page_title(x: str) -> str:
+    page = plain_page(x)
+    return f"coalesce(nullif({element_text(page, 'h1')}, ''), nullif({element_text(page, 'title')}, ''))"
+
+
+def article(x: str) -> str:
+    return f"regexp_extract({plain_page(x)}, '{ARTICLE}', 1)"
+
+
+def article_text(x: str) -> str:
+    return visible(drop_first(drop_first(article(x), "h1"), "figure"))
+
+
+HOST = "lower(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), ':[0-9]+$', ''))"
