@@ -48,3 +48,4 @@ DEFAULT_TAG_MAP = [("ML", "machine-learning")]
 PUBLISHER_HOST = "www.infoq.cn"
 ARTICLE_HOST = "towardsdatascience.com"
 UNUSED_SLOT = "[unused"
+POSTER = "info.poster"
