@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import text as X
-from ..plans.lookups import lookup_join, settle
+from ..plans.layout import by_record
+from ..plans.lookups import lookup_join
 
 
 def term_counts(df: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
@@ -25,7 +26,7 @@ def tfidf(df: DataFrame, text: str, max_df: float = V.MAX_DF, low: int = 1, high
     frequency is counted apart and joined after it is measured, so a term found
     in most records is not a shuffle key beside its records.
     """
-    records = df.select(key, text).repartition(key)
+    records = by_record(df.select(key, text), key)
     counts = term_counts(records, X.token_ngrams(X.words(F.col(text)), low, high), key)
     n = df.count()
     distinct = df.select(F.explode(F.array_distinct(X.token_ngrams(X.words(F.col(text)), low, high))).alias("term"))

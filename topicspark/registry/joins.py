@@ -41,7 +41,7 @@ matches AS (SELECT doc_id, tagID, count(*) AS n FROM grams JOIN phrase_of USING
     S.with_(S.INFOS, S.TAG_LIST, S.TAG_MAP, _MATCH_SQL) + 'SELECT doc_id, tagID AS "tagID", n FROM matches',
 )
 def phrase_match(spark, sf):
-    docs = T.table(spark, sf, "documents").select("doc_id", "text")
+    docs = T.texts(spark, sf, "documents").select("doc_id", "text")
     return J.phrase_match(docs, T.tag_map(spark, sf), F.col("text"))
 
 
@@ -68,7 +68,7 @@ def entity_tags(spark, sf):
     UNION SELECT DISTINCT doc_id, tagID FROM documents JOIN tag_map ON contains(text, label)""",
 )
 def substring_match(spark, sf):
-    docs = T.table(spark, sf, "documents").select("doc_id", "text")
+    docs = T.texts(spark, sf, "documents").select("doc_id", "text")
     return J.substring_match(docs, T.tag_list(spark, sf), T.tag_map(spark, sf), "text")
 
 
@@ -160,7 +160,7 @@ def random_split(spark, sf):
     FROM documents""",
 )
 def head_tail_split(spark, sf):
-    docs = T.table(spark, sf, "documents").select("doc_id")
+    docs = T.texts(spark, sf, "documents").select("doc_id")
     shuffled = M.head_tail_split(docs, True).withColumnRenamed("split", "shuffled")
     return M.head_tail_split(shuffled, 0.3, shuffle=False).withColumnRenamed("split", "ordered")
 

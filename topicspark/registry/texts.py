@@ -17,11 +17,11 @@ QUERIES, ORACLES, query = family()
 
 
 def documents(spark, sf):
-    return T.table(spark, sf, "documents")
+    return T.texts(spark, sf, "documents")
 
 
 def pages(spark, sf):
-    return T.table(spark, sf, "pages")
+    return T.texts(spark, sf, "pages")
 
 
 @query("clean_text", f"SELECT doc_id, {S.clean('text')} AS text FROM documents")

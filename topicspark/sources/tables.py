@@ -6,10 +6,11 @@ into the record types of the library (records, posts, dimensions, requests).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.layout import spread
 from ..plans.ordering import hash32
 
 
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose whole texts are worked on row by row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def shape_infos(docs: DataFrame) -> DataFrame:
     """Records from document rows (batch or streaming), without url."""
     head = F.substring("text", 1, 300)
@@ -39,7 +45,7 @@ def shape_infos(docs: DataFrame) -> DataFrame:
 
 
 def infos(spark: SparkSession, sf_dir: str, with_url: bool = False) -> DataFrame:
-    records = shape_infos(table(spark, sf_dir, "documents"))
+    records = shape_infos(texts(spark, sf_dir, "documents"))
     if not with_url:
         return records
     urls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
@@ -48,7 +54,7 @@ def infos(spark: SparkSession, sf_dir: str, with_url: bool = False) -> DataFrame
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("p_partkey"), "html")
+    pages = texts(spark, sf_dir, "pages").select(F.col("page_id").alias("p_partkey"), "html")
 
     def bracket(c):
         return F.concat(F.lit("<"), c, F.lit(">"))
@@ -64,7 +70,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", F.md5("url").alias("url_md5"), "html")
+    return texts(spark, sf_dir, "pages").select("page_id", "url", F.md5("url").alias("url_md5"), "html")
 
 
 def tag_list(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
@@ -83,7 +89,7 @@ def frequent_phrases(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame
     """The most frequent two-word phrases."""
     grams = X.token_ngrams(X.words(F.col("text")), 2, 2)
     return (
-        table(spark, sf_dir, "documents")
+        texts(spark, sf_dir, "documents")
         .select(F.explode(grams).alias("phrase"))
         .groupBy("phrase")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -104,15 +110,13 @@ def tag_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_vocabulary(spark: SparkSession, sf_dir: str, slots: int = 100, n: int = 500) -> DataFrame:
     """A vocabulary (position, term): free slots, then the most frequent words."""
     counted = (
-        table(spark, sf_dir, "documents")
+        texts(spark, sf_dir, "documents")
         .select(F.explode(X.words(F.col("text"))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "term")
         .limit(n)
     )
-    from pyspark.sql import Window
-
     ranked = counted.select(
         (F.row_number().over(Window.orderBy(F.desc("n"), "term")) + (slots - 1)).cast("bigint").alias("position"),
         "term",
