@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import each
 from ..plans.lookups import bounded_values, lookup_join, member, settle
 
 
 def label_counts(df: DataFrame, column: str = "labels") -> DataFrame:
     """Count of each label over all records."""
-    return df.select(F.explode(column).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return each(df, F.col(column), "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def keep_labels(df: DataFrame, kept: DataFrame, column: str = "labels", key: str = "doc_id") -> DataFrame:
@@ -49,7 +50,7 @@ def semi_join_top_labels(df: DataFrame, n: int, column: str = "labels", key: str
 
 def class_names(df: DataFrame, column: str = "labels") -> DataFrame:
     """Sorted distinct classes (idx, label)."""
-    distinct = settle(df.select(F.explode(column).alias("label")).distinct())
+    distinct = settle(each(df, F.col(column), "label").distinct())
     values = bounded_values(distinct, "label", 100_000)
     if values is not None:
         rows = [(i, v) for i, v in enumerate(sorted(values))]
@@ -67,7 +68,7 @@ def binarize_labels(df: DataFrame, classes: list[str], column: str = "labels") -
 
 def binarize_long(df: DataFrame, classes: DataFrame, column: str = "labels", key: str = "doc_id") -> DataFrame:
     """The ones of the 0/1 matrix as rows (key, idx): the form for wide vocabularies."""
-    pairs = df.select(key, F.explode(F.array_distinct(column)).alias("label"))
+    pairs = each(df, F.array_distinct(column), "label", key)
     return lookup_join(pairs, classes, ["label"], spread_by=[key]).select(key, "idx")
 
 
@@ -128,11 +129,11 @@ def _records(df: DataFrame) -> Column:
 
 
 def label_rank(df: DataFrame, top: int = 20, column: str = "labels") -> DataFrame:
-    return rank_values(df.select(F.explode(column).alias("label")), "label", _records(df), top)
+    return rank_values(each(df, F.col(column), "label"), "label", _records(df), top)
 
 
 def creator_rank(df: DataFrame, top: int = 20) -> DataFrame:
-    return rank_values(df.select(F.explode("creators").alias("creator")), "creator", _records(df), top)
+    return rank_values(each(df, F.col("creators"), "creator"), "creator", _records(df), top)
 
 
 def host_rank(df: DataFrame, top: int = 20) -> DataFrame:
@@ -140,7 +141,7 @@ def host_rank(df: DataFrame, top: int = 20) -> DataFrame:
 
 
 def label_cardinality(df: DataFrame, column: str = "labels") -> DataFrame:
-    return df.select(F.explode(column).alias("label")).distinct().agg(F.count(F.lit(1)).alias("n_labels"))
+    return each(df, F.col(column), "label").distinct().agg(F.count(F.lit(1)).alias("n_labels"))
 
 
 def union_labels(left: Column, right: Column) -> Column:

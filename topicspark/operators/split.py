@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import each
 from ..plans.lookups import lookup_join, settle
 from ..plans.ordering import HASH_SPAN, hash32, order_cut, up_to_cut
 
@@ -78,7 +79,7 @@ def stratified_split(
     cut into 2**16 hash cells that are counted first, so ranks are taken inside
     single cells and a stratum with a third of all records stays spread out.
     """
-    pairs = df.select(key, F.explode(labels).alias("label"))
+    pairs = each(df, F.col(labels), "label", key)
     counts = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     counted = lookup_join(pairs, counts, ["label"], spread_by=[key])
     rows = counted.groupBy(key).agg(F.min(F.struct("n", "label")).alias("s")).select(key, F.col("s.label").alias("stratum"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import text as X
+from ..functions.rows import each
 from ..plans.layout import by_record
 from ..plans.lookups import lookup_join
 
@@ -14,7 +15,7 @@ from ..plans.lookups import lookup_join
 def term_counts(df: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
     """(key, term, tf) from an array of terms."""
     return (
-        df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        each(df, terms, "term", key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
@@ -29,7 +30,7 @@ def tfidf(df: DataFrame, text: str, max_df: float = V.MAX_DF, low: int = 1, high
     records = by_record(df.select(key, text), key)
     counts = term_counts(records, X.token_ngrams(X.words(F.col(text)), low, high), key)
     n = df.count()
-    distinct = df.select(F.explode(F.array_distinct(X.token_ngrams(X.words(F.col(text)), low, high))).alias("term"))
+    distinct = each(df, F.array_distinct(X.token_ngrams(X.words(F.col(text)), low, high)), "term")
     df_counts = distinct.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= F.lit(max_df * n))
     idf = df_counts.select("term", (F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
     weighted = lookup_join(counts, idf, ["term"], spread_by=[key]).select(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.rows import each
 from ..plans.layout import spread
 from ..plans.ordering import hash32
 
@@ -75,7 +76,7 @@ def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tag_list(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
     """The most frequent tags as a dimension (tagID, label)."""
-    tags = infos(spark, sf_dir).select(F.explode("tags").alias("t")).select("t.tagID", "t.label")
+    tags = each(infos(spark, sf_dir), F.col("tags"), "t").select("t.tagID", "t.label")
     return (
         tags.groupBy("tagID", "label")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -89,8 +90,7 @@ def frequent_phrases(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame
     """The most frequent two-word phrases."""
     grams = X.token_ngrams(X.words(F.col("text")), 2, 2)
     return (
-        texts(spark, sf_dir, "documents")
-        .select(F.explode(grams).alias("phrase"))
+        each(texts(spark, sf_dir, "documents"), grams, "phrase")
         .groupBy("phrase")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "phrase")
@@ -110,8 +110,7 @@ def tag_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_vocabulary(spark: SparkSession, sf_dir: str, slots: int = 100, n: int = 500) -> DataFrame:
     """A vocabulary (position, term): free slots, then the most frequent words."""
     counted = (
-        texts(spark, sf_dir, "documents")
-        .select(F.explode(X.words(F.col("text"))).alias("term"))
+        each(texts(spark, sf_dir, "documents"), X.words(F.col("text")), "term")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "term")
