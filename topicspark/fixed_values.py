@@ -47,5 +47,6 @@ DEFAULT_TAG_LIST = [("python", "Python")]
 DEFAULT_TAG_MAP = [("ML", "machine-learning")]
 PUBLISHER_HOST = "www.infoq.cn"
 ARTICLE_HOST = "towardsdatascience.com"
+EMBEDDING_SHARE = 1.0
 UNUSED_SLOT = "[unused"
 POSTER = "info.poster"
