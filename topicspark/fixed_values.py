@@ -43,6 +43,7 @@ TOO_LONG = "Too long text."
 URL_MISSING = "URL missing in post data."
 URL_UNSUPPORTED = "URL not supported."
 TEXT_MISSING = "fulltext, description or title is missing in post data"
+URL_NOT_FETCHABLE = "URL is wrong or not fetchable"
 DEFAULT_TAG_LIST = [("python", "Python")]
 DEFAULT_TAG_MAP = [("ML", "machine-learning")]
 PUBLISHER_HOST = "www.infoq.cn"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("records", "texts", "joins", "sources", "mining", "models")
+FAMILIES = ("records", "texts", "joins", "sources", "mining", "models", "streams")
 
 
 def _merged(attribute: str) -> dict:

@@ -42,7 +42,7 @@ matches AS (SELECT doc_id, tagID, count(*) AS n FROM grams JOIN phrase_of USING
 )
 def phrase_match(spark, sf):
     docs = T.texts(spark, sf, "documents").select("doc_id", "text")
-    return J.phrase_match(docs, T.tag_map(spark, sf), F.col("text"))
+    return J.phrase_match(docs, J.prepare_dictionary(T.tag_map(spark, sf)), F.col("text"))
 
 
 @query(
@@ -56,7 +56,7 @@ def phrase_match(spark, sf):
 )
 def entity_tags(spark, sf):
     records = tag_ids(T.infos(spark, sf)).select("doc_id", F.col("labels").alias("tags"), "fulltext")
-    tagged = J.entity_tags(records, T.tag_map(spark, sf), F.col("fulltext"))
+    tagged = J.entity_tags(records, J.prepare_dictionary(T.tag_map(spark, sf)), F.col("fulltext"))
     return tagged.select("doc_id", F.array_join("tags", "|").alias("tags"))
 
 
