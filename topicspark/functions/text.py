@@ -30,6 +30,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def string_array(values: list[str]) -> Column:
+    """A literal array of strings, typed also when empty."""
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, _STRIP, "")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import each
+from ..functions.text import string_array
 from ..plans.lookups import bounded_values, lookup_join, member, settle
 
 
@@ -62,8 +63,7 @@ def class_names(df: DataFrame, column: str = "labels") -> DataFrame:
 
 def binarize_labels(df: DataFrame, classes: list[str], column: str = "labels") -> DataFrame:
     """Add ``target``: one 0/1 per class, in class order (bounded class lists)."""
-    names = F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<string>")
-    return df.withColumn("target", F.transform(names, lambda c: F.array_contains(column, c).cast("int")))
+    return df.withColumn("target", F.transform(string_array(classes), lambda c: F.array_contains(column, c).cast("int")))
 
 
 def binarize_long(df: DataFrame, classes: DataFrame, column: str = "labels", key: str = "doc_id") -> DataFrame:
@@ -74,7 +74,7 @@ def binarize_long(df: DataFrame, classes: DataFrame, column: str = "labels", key
 
 def inverse_binarize(target: Column, classes: list[str]) -> Column:
     """Labels of a 0/1 array, in class order."""
-    names = F.array(*[F.lit(c) for c in classes])
+    names = string_array(classes)
     hits = F.filter(F.arrays_zip(names.alias("label"), target.alias("bit")), lambda z: z.bit == 1)
     return F.transform(hits, lambda z: z.label)
 

@@ -106,7 +106,7 @@ def threshold_sweep(rows: DataFrame, thresholds: tuple[float, ...] = V.SWEEP_THR
     for i, thr in enumerate(thresholds):
         hit = (proba > thr).cast("int")
         sums += [F.sum(y * hit).alias(f"tp{i}"), F.sum(hit).alias(f"hit{i}")]
-    one = rows.agg(*sums)
+    one = rows.agg(*sums).where(F.col("n") > 0)
     cells = F.array(
         *[
             F.struct(

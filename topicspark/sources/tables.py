@@ -148,7 +148,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(records: DataFrame, classes: list[str], seed: int = 7) -> DataFrame:
     """A score per (record, class): truth ``y`` and a repeatable ``proba``."""
     own = F.transform("tags", lambda t: t.tagID)
-    pairs = records.select("doc_id", own.alias("own"), F.explode(F.array(*[F.lit(c) for c in classes])).alias("label"))
+    pairs = records.select("doc_id", own.alias("own"), F.explode(X.string_array(classes)).alias("label"))
     return pairs.select(
         "doc_id",
         "label",
