@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import each
-from ..functions.text import string_array
+from ..functions.text import bind, string_array
 from ..plans.lookups import bounded_values, lookup_join, member, settle
 
 
@@ -63,7 +63,9 @@ def class_names(df: DataFrame, column: str = "labels") -> DataFrame:
 
 def binarize_labels(df: DataFrame, classes: list[str], column: str = "labels") -> DataFrame:
     """Add ``target``: one 0/1 per class, in class order (bounded class lists)."""
-    return df.withColumn("target", F.transform(string_array(classes), lambda c: F.array_contains(column, c).cast("int")))
+    names = string_array(classes)
+    bits = bind(F.col(column), lambda own: F.transform(names, lambda c: F.array_contains(own, c).cast("int")))
+    return df.withColumn("target", bits)
 
 
 def binarize_long(df: DataFrame, classes: DataFrame, column: str = "labels", key: str = "doc_id") -> DataFrame:

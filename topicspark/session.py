@@ -17,6 +17,7 @@ SESSION_SETTINGS = {
     # lets joins and windows on (doc_id, term) reuse a partitioning on doc_id
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
