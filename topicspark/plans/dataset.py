@@ -11,6 +11,9 @@ from .. import fixed_values as V
 from ..functions import text as X
 from ..operators import filters as P
 from ..operators import labels as L
+from .lookups import bounded_values
+
+DENSE_CLASSES = 10_000
 
 
 def build_dataset(
@@ -73,6 +76,12 @@ def partial_dataset(
 
 
 def with_targets(dataset: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The dataset with 0/1 targets, and its class list in order."""
-    names = [r["label"] for r in L.class_names(dataset).orderBy("idx").collect()]
+    """The dataset with 0/1 targets, and its class list in order.
+
+    Dense targets are for class lists of up to ``DENSE_CLASSES``; wider ones stay
+    in long form (:func:`operators.labels.binarize_long`).
+    """
+    names = bounded_values(L.class_names(dataset).orderBy("idx"), "label", DENSE_CLASSES)
+    if names is None:
+        raise ValueError(f"more than {DENSE_CLASSES} classes: use binarize_long")
     return L.binarize_labels(dataset, names), names

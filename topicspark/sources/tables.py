@@ -148,10 +148,16 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(records: DataFrame, classes: list[str], seed: int = 7) -> DataFrame:
     """A score per (record, class): truth ``y`` and a repeatable ``proba``."""
     own = F.transform("tags", lambda t: t.tagID)
-    pairs = records.select("doc_id", own.alias("own"), F.explode(X.string_array(classes)).alias("label"))
+    truth = X.bind(
+        own,
+        lambda tags: F.transform(
+            X.string_array(classes), lambda c: F.struct(c.alias("label"), F.array_contains(tags, c).cast("int").alias("y"))
+        ),
+    )
+    pairs = records.select("doc_id", F.inline_outer(truth)).where(F.col("label").isNotNull())
     return pairs.select(
         "doc_id",
         "label",
-        F.array_contains("own", F.col("label")).cast("int").alias("y"),
+        "y",
         ((hash32(seed, "doc_id", "label") % 1000) / F.lit(1000.0)).alias("proba"),
     )
