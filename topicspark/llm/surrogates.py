@@ -53,10 +53,10 @@ PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 WITHOUT_MAIL = "|".join(f"(?:{p})" for k, p in KINDS if k != "email")
 WORTH = r"[0-9]|(?:" + "|".join((MALE, FEMALE, EITHER)) + r") \p{Lu}"
 
-_LETTERS = {
-    "a": "abcdefghijklmnopqrstuvwxyz",
-    "а": "абвгдежзийклмнопрстуфхцчшщыэюя",
-    "α": "αβγδεζηθικλμνξοπρστυφχψω",
+_LETTERS = {  # of a script: letters and vowels
+    r"\p{IsLatin}": ("abcdefghijklmnopqrstuvwxyz", "aeiou"),
+    r"\p{IsCyrillic}": ("абвгдежзийклмнопрстуфхцчшщыэюя", "аеиоуыэюя"),
+    r"\p{IsGreek}": ("αβγδεζηθικλμνξοπρστυφχψω", "αεηιουω"),
 }
 
 
@@ -121,18 +121,22 @@ def _stream(kind: Column, plain: Column, attempt: Column, key: str) -> Column:
     return F.transform(hexes, lambda h: F.conv(h, 16, 10).cast("int"))
 
 
-def _same_kind(text: Column, stream: Column) -> Column:
-    """Each letter and digit replaced by one of its kind; a text of hex digits stays one."""
-    hexes = text.rlike(r"\A[0-9a-f]{16,}\z")
+def _same_kind(text: Column, stream: Column, spoken: bool = False) -> Column:
+    """Each letter and digit replaced by one of its kind; a text of hex digits stays one.
+    ``spoken``: vowels for vowels too."""
+    hexes = text.rlike(r"\A[0-9a-f]{16,}\z") & text.rlike("[a-f]")
 
     def swap(c: Column, i: Column) -> Column:
         at = F.element_at(stream, i % 128 + 1) + F.floor(i / 128).cast("int")
         pick = lambda letters: F.substring(F.lit(letters), (at % len(letters) + 1), F.lit(1))
         low = F.lower(c)
         found = F.when(hexes, pick("0123456789abcdef")).when(c.rlike("[0-9]"), (at % 10).cast("string"))
-        for first, letters in _LETTERS.items():
-            script = {"a": r"\p{IsLatin}", "а": r"\p{IsCyrillic}", "α": r"\p{IsGreek}"}[first]
-            found = found.when(c.rlike(script), F.when(c == low, pick(letters)).otherwise(F.upper(pick(letters))))
+        for script, (letters, vowels) in _LETTERS.items():
+            new = pick(letters)
+            if spoken:
+                others = "".join(x for x in letters if x not in vowels)
+                new = F.when(F.contains(F.lit(vowels), low), pick(vowels)).otherwise(pick(others))
+            found = found.when(c.rlike(script), F.when(c == low, new).otherwise(F.upper(new)))
         return found.otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), swap), "")
@@ -151,14 +155,13 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
     ip = F.concat_ws(".", (at(1) % 15 + 240).cast("string"), *(at(k).cast("string") for k in (2, 3, 4)))
     rows = rows.withColumn("body", F.concat(F.substring("plain", 1, 1), F.expr("substring(same, 2, length(same) - 2)")))
     card = F.coalesce(*[F.when(check_digit_right(F.concat("body", F.lit(str(d)))), F.concat("body", F.lit(str(d)))) for d in range(10)])
-    ends = F.when(F.col("gender") == "f", F.lit("a")).when(F.col("gender") == "m", F.lit("o")).otherwise("")
-    ends = (
-        F.when(F.col("same").rlike(r"\p{IsCyrillic}"), F.translate(ends, "ao", "ао"))
-        .when(F.col("same").rlike(r"\p{IsGreek}"), F.translate(ends, "ao", "αο"))
-        .otherwise(ends)
-    )
-    first = F.substring_index("same", " ", 1)
-    name = F.concat(first, ends, F.expr("substring(same, length(substring_index(same, ' ', 1)) + 1)"))
+    # a name's words are drawn each, so a surname is the same behind any given name
+    words = F.transform(F.split("plain", " "), lambda w: _same_kind(w, _stream(F.col("kind"), w, F.col("attempt"), key), spoken=True))
+    rows = rows.withColumn("words", F.when(F.col("kind") == "name", words))
+    first = F.element_at("words", 1)
+    ends = F.when(F.size("words") < 2, F.lit("")).when(F.col("gender") == "f", F.lit("a")).when(F.col("gender") == "m", F.lit("o")).otherwise("")
+    ends = F.when(first.rlike(r"\p{IsCyrillic}"), F.translate(ends, "ao", "ао")).when(first.rlike(r"\p{IsGreek}"), F.translate(ends, "ao", "αο")).otherwise(ends)
+    name = F.array_join(F.concat(F.array(F.concat(first, ends)), F.slice("words", 2, 9)), " ")
     drawn = (
         F.when(F.col("kind") == "email", F.concat(local, F.lit("@"), front, F.lit("example.org")))
         .when(F.col("kind") == "ip", ip)

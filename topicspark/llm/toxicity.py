@@ -5,8 +5,9 @@ forms of a stem not met in training are known by the stem. Keys are hashed to
 ``SLOTS`` slots for each kind, which bounds the model whatever the vocabulary. A
 slot's weight is the log-odds of its documents among toxic against other labelled
 documents, smoothed by a Dirichlet prior in proportion to the slot's count over all
-documents. A word has the weight of its most significant key, and none below
-``MIN_Z``; every word also costs ``DRIFT``.
+documents. A word has the weight of its most significant key, and none if that is
+less than ``MIN_Z`` standard deviations (the signed root of the likelihood ratio);
+every word also costs ``DRIFT``.
 *Segments.* A linear scan (Ruzzo and Tompa) finds all maximal segments of a text.
 *Extreme values.* The best segment of an ordinary text follows an extreme-value
 distribution: of n words, the number of segments that score S or more is expected
@@ -158,7 +159,7 @@ def _texts_of(weights: np.ndarray, words: Words, n: int) -> Iterator[tuple[int,
 
 
 def _counts(docs: DataFrame, sample: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """By slot: words of all documents, toxic and other training documents; and their number."""
+    """By slot: words of all documents, toxic and other training documents; and the numbers of documents."""
     ids = np.array(sorted(sample), dtype=np.int64)
     toxic = np.array([sample[i] for i in sorted(sample)], dtype=np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((ids, toxic))
@@ -166,12 +167,12 @@ def _counts(docs: DataFrame, sample: dict[int, int]) -> tuple[np.ndarray, np.nda
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, toxic = shared.value
         got = np.zeros((3, KINDS * SLOTS), dtype=np.int64)
-        size = np.zeros(2, dtype=np.int64)
+        size = np.zeros(3, dtype=np.int64)
         for batch in batches:
             doc_ids = batch.column(0).fill_null(-1 << 63).to_numpy(zero_copy_only=False)
             at = np.minimum(np.searchsorted(ids, doc_ids), max(len(ids) - 1, 0))
             kind = np.where(ids[at] == doc_ids, 1 + (toxic[at] == 0), 0) if len(ids) else np.zeros(len(doc_ids), dtype=np.int64)
-            size += np.bincount(kind, minlength=3)[1:3]
+            size += np.bincount(kind, minlength=3)
             for first, texts in chunks(batch.column(1)):
                 words = cut(texts)
                 got[0] += np.bincount(words.slots[words.slots >= 0], minlength=KINDS * SLOTS)
@@ -182,7 +183,7 @@ def _counts(docs: DataFrame, sample: dict[int, int]) -> tuple[np.ndarray, np.nda
                     once = np.unique(pairs[words.slots[:, mine] >= 0])
                     got[c] += np.bincount(once % (KINDS * SLOTS), minlength=KINDS * SLOTS)
         slot = np.flatnonzero(got.any(0))
-        columns = [np.append(slot, -1), np.append(got[0][slot], 0), np.append(got[1][slot], size[0]), np.append(got[2][slot], size[1])]
+        columns = [np.append(slot, -1), np.append(got[0][slot], size.sum()), np.append(got[1][slot], size[1]), np.append(got[2][slot], size[2])]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["slot", "n", "toxic", "other"])
 
     rows = docs.transform(in_batches, count, "slot bigint, n bigint, toxic bigint, other bigint")
@@ -192,7 +193,7 @@ def _counts(docs: DataFrame, sample: dict[int, int]) -> tuple[np.ndarray, np.nda
     for k, c in enumerate(("n", "toxic", "other")):
         total[k, slot[slot >= 0]] = summed[c].to_numpy()[slot >= 0]
     sizes = summed[slot < 0]
-    return total[0], total[1], total[2], [int(sizes["toxic"].sum()), int(sizes["other"].sum())]
+    return total[0], total[1], total[2], [int(sizes[c].sum()) for c in ("n", "toxic", "other")]
 
 
 def _levels(docs: DataFrame, model: Model, sample: dict[int, int]) -> list[tuple[int, float, int, bytes]]:
@@ -218,6 +219,17 @@ def _levels(docs: DataFrame, model: Model, sample: dict[int, int]) -> list[tuple
     return [tuple(r) for r in found.collect()]  # FIT_ROWS a class at most, unless rows repeat
 
 
+def _ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """Log of the likelihood ratio of two shares ``a / n_a`` and ``b / n_b`` against one for both."""
+    share = (a + b) / (n_a + n_b)
+
+    def part(x, n, expected):
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(n * expected, 1e-12)), 0)
+
+    own = part(a, n_a, share) + part(n_a - a, n_a, 1 - share) + part(b, n_b, share) + part(n_b - b, n_b, 1 - share)
+    return np.maximum(own, 0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Weights, extreme-value parameters and calibration from ``labels``."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -227,13 +239,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     for label in (0, 1):
         rows = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("id").collect()
         sample |= {r["id"]: label for r in rows}
-    seen, toxic, other, (n_toxic, n_other) = _counts(docs, sample)
+    seen, toxic, other, (n_docs, n_toxic, n_other) = _counts(docs, sample)
     if not n_toxic or not n_other:
         return Model(np.zeros(KINDS * SLOTS), np.zeros(KINDS * SLOTS))
-    prior = PRIOR * (seen + 0.01) / (seen.sum() / KINDS + 0.01 * SLOTS)
-    a, b = toxic + prior, other + prior
-    odds = np.log(a / (n_toxic + PRIOR)) - np.log(b / (n_other + PRIOR))
-    z = odds / np.sqrt(1 / a + 1 / b)
+    words = seen[:SLOTS].sum()
+    prior = PRIOR * (seen + 0.01) / (words + 0.01 * SLOTS)
+    documents = PRIOR * n_docs / max(words, 1)  # as many as have the prior's words
+    odds = np.log((toxic + prior) / (n_toxic + documents)) - np.log((other + prior) / (n_other + documents))
+    z = np.sign(odds) * np.sqrt(2 * _ratio(toxic, other, n_toxic, n_other))
     odds[np.abs(z) < MIN_Z] = 0
     z[np.abs(z) < MIN_Z] = 0
     model = Model(odds, z)
