@@ -8,7 +8,9 @@ the same part, so that the parts differ in how well they tell fingerprints apart
 *Thresholds.* If the parts' thresholds add up to ``TAU - parts + 1``, each linked
 pair is within the threshold in at least one part (-1: the part isn't probed). A
 dynamic programme over the parts picks the thresholds with the fewest estimated
-candidate pairs and probe keys. The sample decides the cost only, never the result.
+candidate pairs and probe keys. The sample decides the cost only, never the result;
+fewer than ``PLANNED`` fingerprints are planned for like that many, so that the work
+for each stays the same from small inputs to large ones.
 *Probe.* Each distinct fingerprint puts out, for each probed part, its value there
 and those within half the threshold, rounded up; values that meet share a key.
 *Verify.* Members of a key are compared in full. A key with many members is
@@ -46,6 +48,7 @@ from .components import components
 
 WORDS, TAU, SEED = 4, 4, 42
 SAMPLE = 2048
+PLANNED = 1 << 20
 GROUP = 4096
 _BLOCK = 1 << 15
 _ROWS = 1 << 17
@@ -208,7 +211,7 @@ def links(values: DataFrame, tau: int = TAU) -> DataFrame:
     sample = np.array([r["fp"] for r in rows], dtype=np.int64).view(np.uint64)
     if n < 2:
         return values.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
-    probed = [(part, bits, e) for part, (bits, e) in enumerate(plan(sample, n, tau)) if e >= 0]
+    probed = [(part, bits, e) for part, (bits, e) in enumerate(plan(sample, max(n, PLANNED), tau)) if e >= 0]
     hot: dict[int, np.ndarray] = {}
     for part, bits, _ in probed:
         own, count = np.unique(_packed(sample, bits, part), return_counts=True)
