@@ -17,8 +17,10 @@ ordinary training texts, K fits their best segments. Segments expected fewer tha
 fitted on training rows, of ``lambda S - log(K n)`` of its best segment.
 
 Only rows of ``labels`` that the caller passes are learned from: at most
-``FIT_ROWS`` of each class, in the order of a hash of the id. The prior counts all
-documents. Words are runs of letters, digits and bytes beyond ASCII, without case.
+``FIT_ROWS`` of each class, in the order of a hash of the id. Copies would make every
+word of theirs look telling, so a training document counts for one divided by the
+number of those that share its smallest hash of four words, under any of
+``SKETCHES`` hashes. The prior counts all documents. Words are runs of letters, digits and bytes beyond ASCII, without case.
 Null and empty texts have no segment and get a score like any other. Without
 positive or negative labels all weights are zero and every score is one half at
 most. Labels of unknown ids and null labels are ignored; of contradicting labels of
@@ -42,6 +44,8 @@ BITS, STEMS = 18, (3, 4, 5, 6)
 SLOTS = 1 << BITS
 KINDS = 1 + len(STEMS)
 FIT_ROWS = 25_000
+SKETCHES = 4
+GRID = np.geomspace(0.02, 20, 48)  # values of lambda that are tried
 PRIOR, MIN_Z, DRIFT, ALPHA = 2_000.0, 4.0, 0.05, 0.01
 _CHUNK = 1 << 20
 _WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -158,21 +162,62 @@ def _texts_of(weights: np.ndarray, words: Words, n: int) -> Iterator[tuple[int,
         yield bounds[k], weights[bounds[k] : bounds[k + 1]]
 
 
-def _counts(docs: DataFrame, sample: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+def _of_sample(docs: DataFrame, sample: dict) -> DataFrame:
+    """The rows of the training documents."""
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sample], "doc_id bigint")  # 2 * FIT_ROWS at most
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text")
+
+
+def _weights(docs: DataFrame, sample: dict[int, int]) -> dict[int, float]:
+    """One divided by the number of copies among the training documents."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = [_MIX[k] + np.uint64(2 * k) for k in range(SKETCHES)]
+        for batch in batches:
+            found = np.zeros((SKETCHES, batch.num_rows), dtype=np.uint64)
+            for first, texts in chunks(batch.column(1)):
+                words = cut(texts)
+                codes = words.slots[0].astype(np.uint64)
+                runs = codes.copy()
+                for step in (1, 2, 3):  # the last words of a text have shorter runs
+                    same = words.doc[step:] == words.doc[:-step]
+                    runs[:-step] = np.where(same, _mixed(runs[:-step] + codes[step:] * _MIX[3]), runs[:-step])
+                for k, turn in enumerate(turns):
+                    least = np.full(len(texts), np.iinfo(np.uint64).max, dtype=np.uint64)
+                    np.minimum.at(least, words.doc, _mixed(runs ^ turn))
+                    found[k, first : first + len(texts)] = least
+            names = [f"s{k}" for k in range(SKETCHES)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in found)], ["doc_id", *names])
+
+    schema = "doc_id bigint, " + ", ".join(f"s{k} bigint" for k in range(SKETCHES))
+    rows = _of_sample(docs, sample).transform(in_batches, sketch, schema).toPandas()
+    share = np.ones(len(rows))
+    for k in range(SKETCHES):
+        share = np.maximum(share, rows.groupby(f"s{k}")["doc_id"].transform("size").to_numpy())
+    return dict(zip(rows["doc_id"].tolist(), (1 / share).tolist()))
+
+
+def _counts(docs: DataFrame, sample: dict[int, int], weights: dict[int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
     """By slot: words of all documents, toxic and other training documents; and the numbers of documents."""
-    ids = np.array(sorted(sample), dtype=np.int64)
-    toxic = np.array([sample[i] for i in sorted(sample)], dtype=np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, toxic))
+    ids = np.array(sorted(weights), dtype=np.int64)
+    toxic = np.array([sample[i] for i in ids.tolist()], dtype=np.int64)
+    weight = np.array([weights[i] for i in ids.tolist()])
+    shared = docs.sparkSession.sparkContext.broadcast((ids, toxic, weight))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, toxic = shared.value
-        got = np.zeros((3, KINDS * SLOTS), dtype=np.int64)
-        size = np.zeros(3, dtype=np.int64)
+        ids, toxic, weight = shared.value
+        got = np.zeros((3, KINDS * SLOTS))
+        size = np.zeros(3)
         for batch in batches:
             doc_ids = batch.column(0).fill_null(-1 << 63).to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(ids, doc_ids), max(len(ids) - 1, 0))
-            kind = np.where(ids[at] == doc_ids, 1 + (toxic[at] == 0), 0) if len(ids) else np.zeros(len(doc_ids), dtype=np.int64)
-            size += np.bincount(kind, minlength=3)
+            kind, counts_for = np.zeros(len(doc_ids), dtype=np.int64), np.ones(len(doc_ids))
+            if len(ids):
+                at = np.minimum(np.searchsorted(ids, doc_ids), len(ids) - 1)
+                known = ids[at] == doc_ids
+                kind = np.where(known, 1 + (toxic[at] == 0), 0)
+                counts_for = np.where(known, weight[at], 1.0)
+            size[0] += len(doc_ids)
+            size[1:] += np.bincount(kind, counts_for, minlength=3)[1:]
             for first, texts in chunks(batch.column(1)):
                 words = cut(texts)
                 got[0] += np.bincount(words.slots[words.slots >= 0], minlength=KINDS * SLOTS)
@@ -181,41 +226,42 @@ def _counts(docs: DataFrame, sample: dict[int, int]) -> tuple[np.ndarray, np.nda
                     mine = own == c
                     pairs = words.slots[:, mine] + words.doc[mine] * (KINDS * SLOTS)
                     once = np.unique(pairs[words.slots[:, mine] >= 0])
-                    got[c] += np.bincount(once % (KINDS * SLOTS), minlength=KINDS * SLOTS)
+                    got[c] += np.bincount(once % (KINDS * SLOTS), counts_for[first + once // (KINDS * SLOTS)], KINDS * SLOTS)
         slot = np.flatnonzero(got.any(0))
-        columns = [np.append(slot, -1), np.append(got[0][slot], size.sum()), np.append(got[1][slot], size[1]), np.append(got[2][slot], size[2])]
+        columns = [np.append(slot, -1), *(np.append(got[k][slot], size[k]) for k in range(3))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["slot", "n", "toxic", "other"])
 
-    rows = docs.transform(in_batches, count, "slot bigint, n bigint, toxic bigint, other bigint")
+    rows = docs.transform(in_batches, count, "slot bigint, n double, toxic double, other double")
     summed = rows.groupBy("slot").agg(*(F.sum(c).alias(c) for c in ("n", "toxic", "other"))).toPandas()  # SLOTS rows a kind at most
     total = np.zeros((3, KINDS * SLOTS))
     slot = summed["slot"].to_numpy()
     for k, c in enumerate(("n", "toxic", "other")):
         total[k, slot[slot >= 0]] = summed[c].to_numpy()[slot >= 0]
     sizes = summed[slot < 0]
-    return total[0], total[1], total[2], [int(sizes[c].sum()) for c in ("n", "toxic", "other")]
+    return total[0], total[1], total[2], [float(sizes[c].sum()) for c in ("n", "toxic", "other")]
 
 
-def _levels(docs: DataFrame, model: Model, sample: dict[int, int]) -> list[tuple[int, float, int, bytes]]:
-    """Label, best segment, words and a histogram of weights of the training documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, sample))
+def _levels(docs: DataFrame, model: Model, sample: dict[int, int], weights: dict[int, float]) -> list[tuple]:
+    """Label, share, best segment, words and the sums of ``exp(lambda w)`` over ``GRID`` of
+    the training documents."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, sample, weights))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, sample = shared.value
+        model, sample, weights = shared.value
         for batch in batches:
-            rows = []
-            mine = [k for k, i in enumerate(batch.column(0).to_pylist()) if i in sample]
-            some = batch.take(pa.array(mine, pa.int64()))
-            labels = [sample[i] for i in some.column(0).to_pylist()]
-            for first, texts in chunks(some.column(1)):
+            rows, ids = [], batch.column(0).to_pylist()
+            for first, texts in chunks(batch.column(1)):
                 words = cut(texts)
-                for k, (_, weight) in enumerate(_texts_of(model.weights(words), words, len(texts))):
+                for k, (_, weight) in enumerate(_texts_of(model.weights(words), words, len(texts)), first):
                     best = max((s for _, _, s in segments(weight)), default=0.0)
-                    rows.append((labels[first + k], best, len(weight), float(np.maximum(weight, 0).sum()), int((weight > 0).sum()), float(weight.min(initial=0))))
+                    value, times = np.unique(weight, return_counts=True)
+                    sums = np.exp(np.minimum(np.outer(GRID, value), 700)) @ times
+                    rows.append((float(sample[ids[k]]), weights[ids[k]], best, float(len(weight)), sums))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["label", "best", "n", "gain", "hits", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], ["label", "share", "best", "n", "sums"])
 
-    found = docs.transform(in_batches, of, "label bigint, best double, n bigint, gain double, hits bigint, low double")
+    schema = "label double, share double, best double, n double, sums array<double>"
+    found = _of_sample(docs, sample).transform(in_batches, of, schema)
     return [tuple(r) for r in found.collect()]  # FIT_ROWS a class at most, unless rows repeat
 
 
@@ -239,7 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     for label in (0, 1):
         rows = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("id").collect()
         sample |= {r["id"]: label for r in rows}
-    seen, toxic, other, (n_docs, n_toxic, n_other) = _counts(docs, sample)
+    weights = _weights(docs, sample)
+    seen, toxic, other, (n_docs, n_toxic, n_other) = _counts(docs, sample, weights)
     if not n_toxic or not n_other:
         return Model(np.zeros(KINDS * SLOTS), np.zeros(KINDS * SLOTS))
     words = seen[:SLOTS].sum()
@@ -250,26 +297,25 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     odds[np.abs(z) < MIN_Z] = 0
     z[np.abs(z) < MIN_Z] = 0
     model = Model(odds, z)
-    rows = _levels(docs, model, sample)
-    label, best, n, gain, hits = (np.array(c, dtype=float) for c in list(zip(*rows))[:5])
+    found = _levels(docs, model, sample, weights)
+    label, part, best, n = np.array([row[:4] for row in found]).T
     plain = label == 0
-    share = (hits[plain].sum() + 0.5) / (n[plain].sum() + 1)
-    step = max(gain[plain].sum() / max(hits[plain].sum(), 1), float(np.percentile(odds[odds > 0], 50)) if (odds > 0).any() else 1.0)
-    low, high = 1e-6, 50.0
-    for _ in range(80):  # E exp(lambda w) = 1: a word gains `step` with chance `share`, or loses the drift
-        middle = (low + high) / 2
-        value = share * math.exp(min(middle * step, 700)) + (1 - share) * math.exp(-middle * model.drift)
-        low, high = (low, middle) if value > 1 else (middle, high)
-    model.decay = max(low, 0.05)
+    rest = part * plain
+    # as if half a word more had the weight of a telling one: training texts can't rule it out
+    telling = float(np.median(odds[odds > 0])) if (odds > 0).any() else 1.0
+    sums = sum((r * np.array(row[4]) for r, row in zip(rest, found) if r), np.zeros(len(GRID)))
+    means = (sums + 0.5 * np.exp(np.minimum(GRID * telling, 700))) / ((n * rest).sum() + 0.5)
+    below = np.flatnonzero(means <= 1)
+    model.decay = float(GRID[below[-1]]) if len(below) else float(GRID[0])
     level = model.decay * best - np.log(np.maximum(n, 1))
-    model.log_k = float(level[plain].mean() - np.euler_gamma)  # the mean of a Gumbel variable
+    model.log_k = float((level * rest).sum() / rest.sum() - np.euler_gamma)  # the mean of a Gumbel variable
     level -= model.log_k
     centre, scale = level.mean(), level.std() or 1.0
     x, w = np.stack([(level - centre) / scale, np.ones(len(level))], 1), np.zeros(2)
     for _ in range(50):  # a logistic function by Newton's steps; a small penalty keeps it finite
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - label) + 0.1 * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        slope = x.T @ (part * (p - label)) + 0.1 * w
+        curve = (x * (part * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
         w = w - np.linalg.solve(curve, slope)
     model.slope, model.intercept = float(w[0] / scale), float(w[1] - w[0] * centre / scale)
     return model
