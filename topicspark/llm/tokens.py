@@ -88,8 +88,8 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         kept = self.kept
-        # a word before a comma or a full stop is a pre-token of its own
-        tails = {piece: piece[:-1] for piece in new if piece[-1:] in (",", ".") and piece[:-1].lstrip(_MARK).isalpha()}
+        # a word before a comma or a full stop is a pre-token of its own, if it stays one in lower case
+        tails = {piece: piece[:-1] for piece in new if piece[-1:] in (",", ".") and (w := piece[:-1].lstrip(_MARK)).isalpha() and w.lower().isalpha()}
         words = new.difference(tails).union(c for c in tails.values() if c not in kept)
         spaced = [w for w in words if w.isalpha()]
         first = [w for w in words if w[:1] == _MARK and w[1:].isalpha()] if self.byte_level else []
