@@ -91,4 +91,70 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LISTED = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+ORACLES: dict[str, str] = {
+    "op2_chat_format": rf"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{ESCAPED}'), (-1, 1, 'assistant', '{ESCAPED}')) v(conv_id, turn, role, text)
+        ), sized AS (
+            SELECT *, length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))
+                + {len(chat.START) + len(chat.SEP) + len(chat.END)} AS size
+            FROM said
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(size)::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id""",
+    "op3_url_filter": rf"""
+        WITH rests AS (
+            SELECT page_id, row_number() OVER () AS doc_row,
+                CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+        ), cut AS (
+            SELECT page_id, doc_row, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+        ), listed(h, p, v) AS (VALUES {_LISTED}),
+        fits AS (
+            SELECT doc_row, h || p AS rule, v, row_number() OVER (PARTITION BY doc_row ORDER BY length(h || p) DESC, length(h) DESC, v DESC) AS place
+            FROM cut JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+        )
+        SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+        FROM cut LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (doc_row)""",
+    "op6_quality_rules": rf"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS doc_row, doc_id, coalesce('+' || source, '-') AS host, coalesce(text, '') AS text FROM documents
+        ), cut AS (
+            SELECT *, regexp_extract_all(text, '[^\x09-\x0D\x20]+') AS words,
+                list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D\x20]')) AS lines FROM docs
+        ), runs AS (
+            SELECT doc_row, unnest(range(1, len(words) - {rules.WINDOW - 2})) AS k, words FROM cut WHERE len(words) >= {rules.WINDOW}
+        ), counted AS (
+            SELECT doc_row, k, count(*) OVER (PARTITION BY doc_row, words[k : k + {rules.WINDOW - 1}]) AS times FROM runs
+        ), covered AS (
+            SELECT doc_row, count(DISTINCT k + step) AS n FROM counted, range({rules.WINDOW}) r(step) WHERE times > 1 GROUP BY doc_row
+        ), measured AS (
+            SELECT doc_row, doc_id, host, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+                len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+                (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+            FROM cut LEFT JOIN covered USING (doc_row)
+        ), judged AS (
+            SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.REPEAT_PERCENT} * n_words AS base_failed FROM measured
+        ), hosts AS (
+            SELECT host, count(*) AS n, sum(base_failed::INT) AS bad FROM judged GROUP BY host
+        ), totals AS (
+            SELECT sum(n) AS n, sum(bad) / sum(n) AS mean, count(*) AS hosts FROM hosts
+        ), spread AS (
+            SELECT t.mean, greatest(sum(h.n * (h.bad / h.n - t.mean) ** 2) / t.n - t.mean * (1 - t.mean) * t.hosts / t.n, 1e-9) AS between_hosts
+            FROM hosts h, totals t GROUP BY t.n, t.mean, t.hosts
+        ), rates AS (
+            SELECT host, (bad + mean * strength) / (n + strength) AS rate
+            FROM hosts, (SELECT mean, greatest(mean * (1 - mean) / between_hosts - 1, 1e-3) AS strength FROM spread)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND rate <= {rules.HOST_RATE} AS kept
+        FROM judged JOIN rates USING (host)""",
+}
