@@ -32,7 +32,7 @@ def keep_labels(df: DataFrame, kept: DataFrame, column: str = "labels", key: str
     sets = pairs.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "label"))), lambda s: s.label).alias(column)
     )
-    return df.drop(column).join(sets, key)
+    return df.drop(column).join(sets, key).select(*df.columns)
 
 
 def filter_rare_labels(df: DataFrame, threshold: int | None, column: str = "labels", key: str = "doc_id") -> DataFrame:

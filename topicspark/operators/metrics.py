@@ -45,7 +45,7 @@ def label_report(rows: DataFrame, key: str = "doc_id") -> DataFrame:
         *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], total.alias("support")
     )
     weighted = per_label.agg(
-        *[(F.sum(F.col(c) * F.col("support")) / total).alias(c) for c in ("precision", "recall", "f1")],
+        *[_ratio(F.sum(F.col(c) * F.col("support")), total).alias(c) for c in ("precision", "recall", "f1")],
         total.alias("support"),
     )
     samples = _measures(rows.groupBy(key).agg(*_counts())).agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import each
 from ..plans.lookups import lookup_join, settle
-from ..plans.ordering import HASH_SPAN, hash32, order_cut, up_to_cut
+from ..plans.ordering import HASH_SPAN, hash32, order_cut, order_value, up_to_cut
 
 CELL_BITS = 16
 
@@ -44,8 +44,8 @@ def head_tail_split(
     if shuffle:
         return random_split(df, share, seed, key)
     size = math.floor(df.count() * share)
-    cut = order_cut(df, F.col(key), F.col(key), size)
-    head = up_to_cut(F.col(key), F.col(key), cut)
+    value = order_value(df, key)
+    head = up_to_cut(value, F.col(key), order_cut(df.select(key), value, F.col(key), size))
     return df.withColumn("split", F.when(head, "test").otherwise("train"))
 
 
@@ -62,11 +62,13 @@ def sample_window(df: DataFrame, size: int, seed: object = 42, key: str = "doc_i
         return df
     offset = df.sparkSession.range(1).select(hash32(seed, F.lit("offset"))).first()[0] % (n - size + 1)
     keys = df.select(key)
-    last = order_cut(keys, F.col(key), F.col(key), offset + size)[0]
-    window = df.where(F.col(key) <= last)
-    if offset:
-        window = window.where(F.col(key) > order_cut(keys, F.col(key), F.col(key), offset)[0])
-    return window
+    value = order_value(df, key)
+
+    def up_to(k: int) -> Column:
+        return up_to_cut(value, F.col(key), order_cut(keys, value, F.col(key), k))
+
+    window = df.where(up_to(offset + size))
+    return window.where(~up_to(offset)) if offset else window
 
 
 def stratified_split(
@@ -74,12 +76,14 @@ def stratified_split(
 ) -> DataFrame:
     """(key, stratum, split): a split that keeps label shares.
 
-    A record's stratum is its rarest label; in each stratum the first
+    A record's stratum is its rarest label, records without a label are a stratum of
+    their own (the empty name); in each stratum the first
     ``round(size * test_size)`` records by (hash, key) are 'test'. A stratum is
     cut into 2**16 hash cells that are counted first, so ranks are taken inside
     single cells and a stratum with a third of all records stays spread out.
     """
-    pairs = each(df, F.col(labels), "label", key)
+    named = F.when(F.size(labels) > 0, F.col(labels)).otherwise(F.array(F.lit("")))
+    pairs = each(df, named, "label", key)
     counts = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     counted = lookup_join(pairs, counts, ["label"], spread_by=[key])
     rows = counted.groupBy(key).agg(F.min(F.struct("n", "label")).alias("s")).select(key, F.col("s.label").alias("stratum"))

@@ -11,7 +11,7 @@ from .. import fixed_values as V
 from ..functions import text as X
 from ..operators import filters as P
 from ..operators import labels as L
-from .lookups import bounded_values
+from .lookups import bounded_values, settle
 
 DENSE_CLASSES = 10_000
 
@@ -78,10 +78,16 @@ def partial_dataset(
 def with_targets(dataset: DataFrame) -> tuple[DataFrame, list[str]]:
     """The dataset with 0/1 targets, and its class list in order.
 
-    Dense targets are for class lists of up to ``DENSE_CLASSES``; wider ones stay
-    in long form (:func:`operators.labels.binarize_long`).
+    Up to ``DENSE_CLASSES`` classes are literals of the plan. Beyond, a record's
+    positions come by a join (:func:`operators.labels.binarize_long`) and are spread
+    to the same 0/1 array; only the list of names reaches the driver.
     """
-    names = bounded_values(L.class_names(dataset).orderBy("idx"), "label", DENSE_CLASSES)
-    if names is None:
-        raise ValueError(f"more than {DENSE_CLASSES} classes: use binarize_long")
-    return L.binarize_labels(dataset, names), names
+    classes = settle(L.class_names(dataset))
+    names = bounded_values(classes.orderBy("idx"), "label", DENSE_CLASSES)
+    if names is not None:
+        return L.binarize_labels(dataset, names), names
+    names = [r["label"] for r in classes.orderBy("idx").toLocalIterator()]
+    ones = L.binarize_long(dataset, classes).groupBy("doc_id").agg(F.collect_set("idx").alias("ones"))
+    places = F.sequence(F.lit(0), F.lit(len(names) - 1))
+    bits = F.transform(places, lambda i: F.coalesce(F.array_contains("ones", i), F.lit(False)).cast("int"))
+    return dataset.join(ones, "doc_id", "left").withColumn("target", bits).drop("ones"), names

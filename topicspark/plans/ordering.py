@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lookups import settle
 
@@ -25,18 +26,28 @@ def hash32(seed: object, *keys: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
+def order_value(df: DataFrame, key: str) -> Column:
+    """A bigint in the order of ``key``: the key itself, or the first seven bytes of a string."""
+    if not isinstance(df.schema[key].dataType, T.StringType):
+        return F.col(key).cast("bigint")
+    head = F.rpad(F.hex(F.substring(F.encode(F.col(key), "UTF-8"), 1, 7)), 14, "0")
+    return F.conv(head, 16, 10).cast("bigint")
+
+
 def order_cut(
     df: DataFrame, value: Column, key: Column, k: int, span: tuple[int, int] | None = None
-) -> tuple[int, int] | None:
+) -> tuple | None:
     """The k-th smallest (value, key) pair of ``df``, 1-based; None for ``k < 1``.
 
-    ``value`` and ``key`` are bigint columns, ``span`` the range of ``value`` if known. Every pass splits the range that
-    holds the wanted rank into ``CELLS`` equal ranges and counts them; once the
-    range holds few rows these alone are sorted.
+    ``value`` is a bigint column, ``span`` its range if known; ``key`` is of any type
+    that can be sorted. Every pass splits the range that holds the wanted rank into
+    ``CELLS`` equal ranges and counts them; once the range holds few rows these alone
+    are sorted. Many rows of one value are told apart by their keys: whole numbers by
+    counting ranges again, other keys by walking through their sorted counts.
     """
     if k < 1:
         return None
-    pairs = df.select(value.cast("bigint").alias("v"), key.cast("bigint").alias("t"))
+    pairs = df.select(value.cast("bigint").alias("v"), key.alias("t"))
     low, high = span or pairs.agg(F.min("v"), F.max("v")).first()
     if low is None:
         return None
@@ -59,11 +70,15 @@ def order_cut(
             row = inside.orderBy("v", "t").limit(k).collect()[-1]
             return row["v"], row["t"]
         if low == high:
-            tie = order_cut(inside, F.col("t"), F.col("t"), k)
-            return low, tie[0]
+            if isinstance(pairs.schema["t"].dataType, T.IntegralType):
+                return low, order_cut(inside, F.col("t"), F.col("t"), k)[0]
+            for row in inside.groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy("t").toLocalIterator():
+                k -= row["n"]
+                if k <= 0:
+                    return low, row["t"]
 
 
-def up_to_cut(value: Column, key: Column, cut: tuple[int, int] | None) -> Column:
+def up_to_cut(value: Column, key: Column, cut: tuple | None) -> Column:
     """True for rows whose (value, key) is not above ``cut``."""
     if cut is None:
         return F.lit(False)

@@ -187,7 +187,7 @@ def sample_window(spark, sf):
 @query(
     "stratified_multilabel_split",
     S.with_(S.INFOS)
-    + f""", p AS (SELECT doc_id, unnest(tag_ids) AS label FROM infos),
+    + f""", p AS (SELECT doc_id, unnest(CASE WHEN len(tag_ids) > 0 THEN tag_ids ELSE [''] END) AS label FROM infos),
     c AS (SELECT label, count(*) AS n FROM p GROUP BY label),
     s AS (SELECT doc_id, label AS stratum FROM p JOIN c USING (label)
           QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n, label) = 1)

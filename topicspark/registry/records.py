@@ -10,7 +10,6 @@ from ..functions import urls as U
 from ..operators import filters as P
 from ..operators import labels as L
 from ..plans import dataset as D
-from ..plans.lookups import bounded_values
 from ..sources import tables as T
 from . import sql as S
 from .common import family, joined, n_long, tag_ids
@@ -327,8 +326,7 @@ def _scored(spark, sf):
     records = T.infos(spark, sf)
     base = tag_ids(P.filter_min_length(P.filter_language(records, "en")))
     frequent = L.label_counts(base).where(F.col("n") > 20)
-    names = bounded_values(frequent, "label", D.DENSE_CLASSES)
-    return T.scores(records, sorted(names))
+    return T.scores(records, frequent)
 
 
 SCORES_SQL = (S.INFOS, S.base(), S.kept(20), S.scores(20))

@@ -93,7 +93,7 @@ def scan_posts_csv(spark, sf):
 
 @query(
     "posts_query",
-    S.with_(S.POSTS) + "SELECT id, title, score FROM posts WHERE score > 10 ORDER BY score DESC, id LIMIT 50 OFFSET 25",
+    S.with_(S.POSTS) + "SELECT id, title, score FROM posts WHERE score > 10 AND body IS NOT NULL ORDER BY score DESC, id LIMIT 50 OFFSET 25",
 )
 def posts_query(spark, sf):
     return Q.posts_query(T.posts(spark, sf), 25, 50).select("id", F.col("Title").alias("title"), "score")
@@ -102,7 +102,7 @@ def posts_query(spark, sf):
 @query(
     "posts_page_export",
     S.with_(S.POSTS)
-    + """, o AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS o FROM posts WHERE score > 10)
+    + """, o AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS o FROM posts WHERE score > 10 AND body IS NOT NULL)
     SELECT CAST(floor(o / 20) AS INTEGER) AS page, count(*) AS n, max(score) AS max_score, min(score) AS min_score,
     CAST(sum(id) AS BIGINT) AS id_sum FROM o GROUP BY 1""",
 )
@@ -119,7 +119,7 @@ def posts_page_export(spark, sf):
     )
 
 
-@query("posts_count", S.with_(S.POSTS) + "SELECT count(*) AS n FROM posts WHERE score > 10")
+@query("posts_count", S.with_(S.POSTS) + "SELECT count(*) AS n FROM posts WHERE score > 10 AND body IS NOT NULL")
 def posts_count(spark, sf):
     return Q.posts_count(T.posts(spark, sf), 10)
 
@@ -130,7 +130,7 @@ def posts_count(spark, sf):
     + f""", p AS (SELECT id, unnest(list_distinct(regexp_extract_all(tags, '<([^>]+)>', 1))) AS label FROM posts),
     top AS (SELECT label FROM p GROUP BY label ORDER BY count(*) DESC, label LIMIT 12),
     k AS (SELECT id, array_to_string(list_sort(list(label)), '|') AS labels FROM p JOIN top USING (label) GROUP BY id)
-    SELECT id, labels, title || ' ' || {_BODY_SQL} AS description FROM posts JOIN k USING (id)""",
+    SELECT id, labels, concat_ws(' ', title, {_BODY_SQL}) AS description FROM posts JOIN k USING (id)""",
 )
 def stack_dataset(spark, sf):
     rows = Q.stack_dataset(T.posts(spark, sf), n_tag=12, concat_title=True)

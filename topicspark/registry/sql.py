@@ -55,11 +55,11 @@ INFOS = """
 infos AS (
   SELECT d.doc_id, md5(CAST(d.doc_id AS VARCHAR)) AS key, substr(d.text, 1, 60) AS title,
          substr(d.text, 1, 300) AS description, d.text AS fulltext, d.lang AS language, p.url,
-         list_distinct(list_filter(string_split_regex(lower(substr(d.text, 1, 300)), '[^a-z]+'),
-                                   lambda x: length(x) >= 5)) AS tag_ids,
+         list_sort(list_distinct(list_filter(d.long_words, lambda x, i: i > 1 AND d.long_words[i - 1] = x))) AS tag_ids,
          CASE WHEN d.doc_id % 7 = 0 THEN CAST([] AS VARCHAR[])
               WHEN d.doc_id % 5 = 0 THEN [d.source, 'editor'] ELSE [d.source] END AS creators
-  FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id
+  FROM (SELECT *, list_sort(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 5)) AS long_words
+        FROM documents) d LEFT JOIN pages p ON p.page_id = d.doc_id
 )"""
 
 POSTS = """
@@ -67,7 +67,7 @@ posts AS (
   SELECT p_partkey AS id, p_name AS title, html AS body, p_size AS score,
          '<' || lower(p_brand) || '><' || lower(p_type) || '>' ||
          array_to_string(list_transform(string_split(p_name, ' '), lambda w: '<' || w || '>'), '') AS tags
-  FROM part JOIN pages ON page_id = p_partkey
+  FROM part LEFT JOIN pages ON page_id = p_partkey
 )"""
 
 TAG_LIST = """
@@ -111,12 +111,16 @@ def with_(*parts: str) -> str:
 
 
 def scores(threshold: int, seed: int = 7) -> str:
-    """scores(doc_id, label, y, proba): every record with every kept class."""
+    """scores(doc_id, label, y, proba): every record with its kept classes and four drawn ones."""
     return f"""
+classes AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM frequent),
+drawn AS (SELECT doc_id, {hash32(seed, 'doc_id', 'j')} % (SELECT greatest(count(*), 1) FROM classes) AS idx FROM infos, range(4) r(j)),
+owned AS (SELECT doc_id, unnest(tag_ids) AS label FROM infos),
 scores AS (
-  SELECT i.doc_id, f.label, CAST(list_contains(i.tag_ids, f.label) AS INTEGER) AS y,
-         ({hash32(seed, 'i.doc_id', 'f.label')} % 1000) / 1000.0::DOUBLE AS proba
-  FROM infos i, (SELECT label FROM frequent) f
+  SELECT doc_id, label, CAST(max(y) AS INTEGER) AS y, ({hash32(seed, 'doc_id', 'label')} % 1000) / 1000.0::DOUBLE AS proba
+  FROM (SELECT doc_id, label, 0 AS y FROM drawn JOIN classes USING (idx)
+        UNION ALL SELECT doc_id, label, 1 FROM owned JOIN classes USING (label))
+  GROUP BY doc_id, label
 )"""
 
 

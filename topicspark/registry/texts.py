@@ -134,7 +134,7 @@ def post_body_text(spark, sf):
     return T.posts(spark, sf).select("id", H.extract_text(F.col("body"), H.post_body_text).alias("body"))
 
 
-@query("post_text", S.with_(S.POSTS) + f"SELECT id, title || ' ' || {_BODY_SQL} AS description FROM posts")
+@query("post_text", S.with_(S.POSTS) + f"SELECT id, concat_ws(' ', title, {_BODY_SQL}) AS description FROM posts")
 def post_text(spark, sf):
     text = F.concat_ws(" ", "Title", H.post_body_text(F.col("body")))
     return T.posts(spark, sf).select("id", text.alias("description"))

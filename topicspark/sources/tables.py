@@ -6,13 +6,14 @@ into the record types of the library (records, posts, dimensions, requests).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.rows import each
 from ..plans.layout import spread
-from ..plans.ordering import hash32
+from ..plans.lookups import lookup_join, settle
+from ..plans.ordering import hash32, with_ordinal
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +25,16 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(table(spark, sf_dir, name))
 
 
+def repeated_words(text: Column, letters: int = 5) -> Column:
+    """Words of at least ``letters`` letters that the whole text has more than once, sorted."""
+    long = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: F.length(t) >= letters)
+    return X.bind(F.array_sort(long), lambda w: F.array_distinct(F.filter(w, lambda t, i: (i > 0) & (F.get(w, i - 1) == t))))
+
+
 def shape_infos(docs: DataFrame) -> DataFrame:
     """Records from document rows (batch or streaming), without url."""
     head = F.substring("text", 1, 300)
-    tag_ids = F.array_distinct(F.filter(F.split(F.lower(head), "[^a-z]+"), lambda t: F.length(t) >= 5))
+    tag_ids = repeated_words(F.col("text"))
     names = (
         F.when(F.col("doc_id") % 7 == 0, F.array().cast("array<string>"))
         .when(F.col("doc_id") % 5 == 0, F.array("source", F.lit("editor")))
@@ -61,7 +68,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit("<"), c, F.lit(">"))
 
     words = F.array_join(F.transform(F.split("p_name", " "), bracket), "")
-    return part.join(pages, "p_partkey").select(
+    return part.join(pages, "p_partkey", "left").select(
         F.col("p_partkey").alias("id"),
         F.col("p_name").alias("Title"),
         F.concat(bracket(F.lower("p_brand")), bracket(F.lower("p_type")), words).alias("Tags"),
@@ -145,19 +152,20 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infos(spark, sf_dir, with_url=True).select(*columns).unionByName(edge)
 
 
-def scores(records: DataFrame, classes: list[str], seed: int = 7) -> DataFrame:
-    """A score per (record, class): truth ``y`` and a repeatable ``proba``."""
-    own = F.transform("tags", lambda t: t.tagID)
-    truth = X.bind(
-        own,
-        lambda tags: F.transform(
-            X.string_array(classes), lambda c: F.struct(c.alias("label"), F.array_contains(tags, c).cast("int").alias("y"))
-        ),
-    )
-    pairs = records.select("doc_id", F.inline_outer(truth)).where(F.col("label").isNotNull())
-    return pairs.select(
-        "doc_id",
-        "label",
-        "y",
-        ((hash32(seed, "doc_id", "label") % 1000) / F.lit(1000.0)).alias("proba"),
-    )
+def scores(records: DataFrame, classes: DataFrame, candidates: int = 4, seed: int = 7) -> DataFrame:
+    """A score per record and candidate class: truth ``y`` and a repeatable ``proba``.
+
+    A record's candidates are its own classes and ``candidates`` drawn ones, so the
+    table grows with the records and not with the number of classes.
+    """
+    placed = settle(with_ordinal(classes.select("label").distinct(), F.col("label"), name="idx"))
+    n = placed.count()
+    own = each(records, F.transform("tags", lambda t: t.tagID), "label", "doc_id")
+    rows = lookup_join(own, placed.select("label"), ["label"], "left_semi", spread_by=["doc_id"], settled=True).withColumn("y", F.lit(1))
+    if n:
+        draws = F.array(*[hash32(seed, "doc_id", F.lit(j)) % n for j in range(candidates)])
+        drawn = records.select("doc_id", F.explode(draws).alias("idx"))
+        picked = lookup_join(drawn, placed, ["idx"], spread_by=["doc_id"], settled=True)
+        rows = rows.unionByName(picked.select("doc_id", "label", F.lit(0).alias("y")))
+    rows = rows.groupBy("doc_id", "label").agg(F.max("y").alias("y"))
+    return rows.withColumn("proba", (hash32(seed, "doc_id", "label") % 1000) / F.lit(1000.0))

@@ -8,6 +8,7 @@ its own output.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,8 +26,10 @@ from ..operators import matching as J
 from ..operators import mining as K
 from ..operators.models import LabelModel
 from ..plans.layout import spread
+from ..plans.lookups import settle
 from ..sources import pages as Pages
 from ..sources import stores
+from ..sources.feeds import path_exists
 
 
 @dataclass
@@ -90,6 +93,21 @@ def _tagged(rows: DataFrame, r: Resources, only_model: bool) -> DataFrame:
     return rows
 
 
+def each_request(answer: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Answer requests one by one also if several have the same ``doc_id``: they are
+    numbered once, in the shared folder, and joined by their numbers."""
+
+    @functools.wraps(answer)
+    def numbered(requests: DataFrame, *args, **options) -> DataFrame:
+        rows = settle(requests.withColumn("_own_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()))
+        found = answer(rows.drop("_own_id"), *args, **options)
+        named = found.join(rows.select("doc_id", "_own_id"), "doc_id").withColumn("doc_id", F.col("_own_id"))
+        return named.select(*found.columns)
+
+    return numbered
+
+
+@each_request
 def detect_language(requests: DataFrame, r: Resources, by_url: bool = False) -> DataFrame:
     """(doc_id, valid, reason, language) per request."""
     rows = checked_requests(requests, by_url, r.pages, validate=False)
@@ -98,6 +116,7 @@ def detect_language(requests: DataFrame, r: Resources, by_url: bool = False) ->
     return answer.withColumnRenamed("predicted", "language")
 
 
+@each_request
 def detect_tags(requests: DataFrame, r: Resources, by_url: bool = False, only_model: bool = False) -> DataFrame:
     """(doc_id, valid, reason, tags) per request; refused requests have null tags."""
     rows = checked_requests(requests, by_url, r.pages)
@@ -105,6 +124,7 @@ def detect_tags(requests: DataFrame, r: Resources, by_url: bool = False, only_mo
     return rows.select("doc_id", "valid", "reason").join(tagged, "doc_id", "left")
 
 
+@each_request
 def detect(
     requests: DataFrame, r: Resources, by_url: bool = False, only_model: bool = False, num_keywords: int = V.NUM_KEYWORDS
 ) -> DataFrame:
@@ -150,7 +170,10 @@ def run_available(
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(out).drop("batch")
+    spark = stream.sparkSession
+    if not path_exists(spark, out):  # nothing has arrived yet
+        return answer(spark.createDataFrame([], stream.schema))
+    return spark.read.parquet(out).drop("batch")
 
 
 def stream_suggestions(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
