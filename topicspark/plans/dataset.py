@@ -65,14 +65,22 @@ def build_dataset(
 
 
 def partial_dataset(
-    records: DataFrame, partial_len: int, concat_title: bool = False, language: str | None = None
+    records: DataFrame,
+    partial_len: int,
+    concat_title: bool = False,
+    language: str | None = None,
+    filter_tags_threshold: int | None = None,
 ) -> DataFrame:
-    """Title, language and the first ``partial_len`` characters of the cleaned text."""
+    """Title, language and the first ``partial_len`` characters of the cleaned text; with
+    ``filter_tags_threshold`` also the labels left after removing rare ones."""
     df = P.filter_min_length(P.filter_language(records, language), fulltext=True)
+    if filter_tags_threshold is not None:
+        df = L.filter_rare_labels(df.withColumn("labels", P.select_tag_field(F.col("tags"))), filter_tags_threshold)
     text = X.partial_text(X.clean_text(F.col("fulltext")), partial_len)
     if concat_title:
         text = X.prefix_title(F.col("title"), text)
-    return df.withColumn("partial_text", text).select("doc_id", "title", "language", "partial_text")
+    labels = ["labels"] if filter_tags_threshold is not None else []
+    return df.withColumn("partial_text", text).select("doc_id", "title", "language", "partial_text", *labels)
 
 
 def with_targets(dataset: DataFrame) -> tuple[DataFrame, list[str]]:

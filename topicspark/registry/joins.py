@@ -269,6 +269,12 @@ def confusion_matrix(spark, sf):
     return A.confusion_matrix(_scored(spark, sf).withColumn("p", (F.col("proba") > 0.5).cast("int")))
 
 
+@query("accuracy", S.with_(*SCORES_SQL, _PRED) + "SELECT round(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM pred")
+def accuracy(spark, sf):
+    rows = _scored(spark, sf).withColumn("p", (F.col("proba") > V.DECISION_THRESHOLD).cast("int"))
+    return A.accuracy(rows).select(F.round("accuracy", 9).alias("accuracy"))
+
+
 _AP = """round(tp / pos * CASE WHEN hit = 0 THEN 0 ELSE tp / hit END + (1 - tp / pos) * pos / n, 9)"""
 _SUMS = """sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n, sum(CASE WHEN proba > thr THEN y ELSE 0 END)::DOUBLE AS tp,
     sum(CASE WHEN proba > thr THEN 1 ELSE 0 END)::DOUBLE AS hit"""

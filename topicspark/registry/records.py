@@ -64,6 +64,17 @@ def partial_text(spark, sf):
     return D.partial_dataset(T.infos(spark, sf), 1000, concat_title=True)
 
 
+@query(
+    "partial_labelled",
+    S.with_(S.INFOS, S.base(), S.kept(4))
+    + f"""SELECT doc_id, title, language, substr({S.clean('fulltext')}, 1, 1000) AS partial_text, array_to_string(labels, '|') AS labels
+    FROM base JOIN kept USING (doc_id)""",
+)
+def partial_labelled(spark, sf):
+    rows = D.partial_dataset(T.infos(spark, sf), 1000, language="en", filter_tags_threshold=4)
+    return rows.withColumn("labels", joined("labels"))
+
+
 @query(
     "concat_title",
     S.with_(S.INFOS)
