@@ -88,7 +88,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row = encoder(tokenizer), 0
-        curve = Curve(max(len(encode.edge), end_id + 1))
+        curve = Curve(max(encode.highest, end_id) + 1)
         width = encode.width if end_id < 1 << 16 else 4
         end = np.array([end_id], dtype="<u4")
         for batch in batches:

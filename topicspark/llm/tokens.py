@@ -3,7 +3,9 @@
 A BPE tokenizer cuts a text into pre-tokens and encodes each on its own. No
 pre-token of the two supported kinds reaches over a space between two words, so a
 text is cut there, each distinct piece is encoded by the library once, and the
-ids of a text are those of its pieces in order:
+ids of a text are those of its pieces in order. A piece of letters alone is one
+pre-token, which the library's model takes as it is; punctuation behind it is the
+next one:
 
 * byte-level: a space belongs to the word behind it. Texts with a run of white
   space, or with white space at an end, are encoded whole.
@@ -14,12 +16,13 @@ Any other tokenizer encodes every text whole.
 
 from __future__ import annotations
 
+import unicodedata
 from array import array
 
 import numpy as np
 
 PIECES_KEPT = 600_000  # bound of a worker's table of pieces; it starts anew beyond
-_RUN = 1024
+_TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation without the apostrophe of contractions
 _MARK = "\0"  # in front of a piece that has no space before it
 _LOADED: dict[str, Encoder] = {}
 
@@ -39,9 +42,14 @@ class Encoder:
         self.word_ends = getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>"
         plain = self.tokenizer.pre_tokenizer
         self.byte_level = isinstance(plain, pre_tokenizers.ByteLevel) and not plain.add_prefix_space and self.tokenizer.normalizer is None
-        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
-        for text, at in vocabulary.items():
-            self.edge[at] = text.endswith("</w>") if self.word_ends else text.startswith("Ġ")
+        self.highest = max(vocabulary.values(), default=0)
+        self.tails: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = {}  # the model's sign for a byte beyond ASCII, as the library spells it
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        for code in [*range(0x80, 0x800), *range(0x800, 0x10000, 0x400), *range(0x10000, 0x110000, 0x10000)]:
+            if not 0xD800 <= code < 0xE000:
+                self.letters.update(zip(chr(code).encode(), spell(chr(code))[0][0]))
         self.line = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -81,55 +89,56 @@ class Encoder:
         found = [list(map(get, pieces)) for pieces in cut]
         gaps = [k for k, ids in enumerate(found) if None in ids]
         if gaps:
-            self._learn({piece for k in gaps for piece, ids in zip(cut[k], found[k]) if ids is None})
-            for k in gaps:
-                found[k] = list(map(get, cut[k]))
+            holes = [(k, [j for j, ids in enumerate(found[k]) if ids is None]) for k in gaps]
+            self._learn({cut[k][j] for k, at in holes for j in at})
+            for k, at in holes:
+                ids, pieces = found[k], cut[k]
+                for j in at:
+                    ids[j] = self.kept[pieces[j]]
         return found
 
     def _learn(self, new: set[str]) -> None:
-        kept = self.kept
-        # a word before a comma or a full stop is a pre-token of its own, if it stays one in lower case
-        tails = {piece: piece[:-1] for piece in new if piece[-1:] in (",", ".") and (w := piece[:-1].lstrip(_MARK)).isalpha() and w.lower().isalpha()}
-        words = new.difference(tails).union(c for c in tails.values() if c not in kept)
-        spaced = [w for w in words if w.isalpha()]
-        first = [w for w in words if w[:1] == _MARK and w[1:].isalpha()] if self.byte_level else []
-        for run, text, starts in ((spaced, self._spaced, self._at_edges), (first, self._lines, self._at_lines)):
-            some = [run[k : k + _RUN] for k in range(0, len(run), _RUN)]
-            for s, e in zip(some, self.tokenizer.encode_batch_fast([text(s) for s in some], add_special_tokens=False)):
-                raw = array("I", e.ids)
-                begins, ends = starts(np.frombuffer(raw, dtype="<u4"))
-                if len(begins) == len(s):
-                    raw = raw.tobytes()
-                    kept.update(zip(s, [raw[a:b] for a, b in zip(begins, ends)]))
-        rest = [w for w in words if w not in kept]
-        kept.update(zip(rest, self.whole([self._alone(w) for w in rest])))
-        if tails:
-            ends = dict(zip(",.", self.whole([",", "."])))
-            kept.update((piece, kept[word] + ends[piece[-1]]) for piece, word in tails.items())
+        kept, tokenize, rest = self.kept, self.model.tokenize, []
+        for piece in new:
+            word = piece.rstrip(_TAILS)
+            ids = kept.get(word)
+            if ids is None:
+                spelled = self._spelled(word)
+                if spelled is None:
+                    rest.append(piece)
+                    continue
+                ids = kept[word] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
+            if len(word) < len(piece):
+                kept[piece] = ids + self._tail(piece[len(word) :])
+        if rest:
+            kept.update(zip(rest, self.whole([self._alone(piece) for piece in rest])))
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > PIECES_KEPT:
+                self.tails.clear()
+            self.tails[tail] = self.whole([tail])[0]
+        return self.tails[tail]
+
+    def _spelled(self, word: str) -> str | None:
+        """A word of letters in the model's signs; None for any other piece."""
+        first = word[:1] == _MARK
+        body = word[1:] if first else word
+        if not body.isalpha():
+            return None
+        if self.word_ends:
+            if first:
+                return None
+            body = body.lower() if body.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", body)))
+            if not body.isalpha():  # a capital that lower case takes apart
+                return None
+        if not body.isascii():
+            body = body.encode().decode("latin-1").translate(self.letters)
+        return body if self.word_ends or first else "Ġ" + body
 
     def _alone(self, piece: str) -> str:
         return piece if self.word_ends else piece[1:] if piece[:1] == _MARK else " " + piece
 
-    def _spaced(self, run: list[str]) -> str:
-        return " ".join(run) if self.word_ends else " " + " ".join(run)
-
-    @staticmethod
-    def _lines(run: list[str]) -> str:
-        return "\n".join(w[1:] for w in run)
-
-    def _at_edges(self, ids: np.ndarray) -> tuple[list[int], list[int]]:
-        """Byte ranges of the words, from the tokens that begin (or end) one."""
-        at = np.flatnonzero(self.edge[ids]) * 4
-        if self.word_ends:
-            ends = (at + 4).tolist()
-            return [0, *ends[:-1]], ends
-        begins = at.tolist()
-        return begins, [*begins[1:], 4 * len(ids)]
-
-    def _at_lines(self, ids: np.ndarray) -> tuple[list[int], list[int]]:
-        at = (np.flatnonzero(ids == self.line[0]) * 4).tolist()
-        return [0, *(x + 4 for x in at)], [*at, 4 * len(ids)]
-
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a tokenizer file, loaded once."""
