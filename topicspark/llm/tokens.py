@@ -50,7 +50,7 @@ class Encoder:
         for code in [*range(0x80, 0x800), *range(0x800, 0x10000, 0x400), *range(0x10000, 0x110000, 0x10000)]:
             if not 0xD800 <= code < 0xE000:
                 self.letters.update(zip(chr(code).encode(), spell(chr(code))[0][0]))
-        self.line = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.line = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,21 +62,17 @@ class Encoder:
         if not self.byte_level:
             return self.whole(texts)
         found: list[bytes | None] = [None] * len(texts)
-        odd, ends, cut = [], [], []
+        odd, even, cut = [], [], []
         for k, text in enumerate(texts):
             if not text or _MARK in text or " ".join(text.split()) != text.replace("\n", " "):
                 odd.append(k)
                 continue
-            for line in text.split("\n"):
-                pieces = line.split(" ")
-                pieces[0] = _MARK + pieces[0]
-                cut.append(pieces)
-            ends.append((k, len(cut)))
-        at, line = 0, self.line.tobytes()
-        ids = self._ids(cut)
-        for k, end in ends:
-            found[k] = line.join([b"".join(x) for x in ids[at:end]])
-            at = end
+            pieces = text.replace("\n", " \n").split(" ")  # a line feed stays with the word behind it
+            pieces[0] = _MARK + pieces[0]
+            cut.append(pieces)
+            even.append(k)
+        for k, ids in zip(even, self._ids(cut)):
+            found[k] = b"".join(ids)
         for k, each in zip(odd, self.whole([texts[k] for k in odd])):
             found[k] = each
         return found
@@ -90,7 +86,10 @@ class Encoder:
         gaps = [k for k, ids in enumerate(found) if None in ids]
         if gaps:
             holes = [(k, [j for j, ids in enumerate(found[k]) if ids is None]) for k in gaps]
-            self._learn({cut[k][j] for k, at in holes for j in at})
+            new = {cut[k][j] for k, at in holes for j in at}
+            lined = {piece: _MARK + piece[1:] for piece in new if piece[:1] == "\n"}
+            self._learn(new.difference(lined).union(piece for piece in lined.values() if piece not in self.kept))
+            self.kept.update((piece, self.line + self.kept[word]) for piece, word in lined.items())
             for k, at in holes:
                 ids, pieces = found[k], cut[k]
                 for j in at:
@@ -99,14 +98,18 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         kept, tokenize, rest = self.kept, self.model.tokenize, []
+        get, word_ends = kept.get, self.word_ends
         for piece in new:
             word = piece.rstrip(_TAILS)
-            ids = kept.get(word)
+            ids = get(word)
             if ids is None:
-                spelled = self._spelled(word)
-                if spelled is None:
-                    rest.append(piece)
-                    continue
+                if word.isascii() and word.isalpha():
+                    spelled = word.lower() if word_ends else "Ġ" + word
+                else:
+                    spelled = self._spelled(word)
+                    if spelled is None:
+                        rest.append(piece)
+                        continue
                 ids = kept[word] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
             if len(word) < len(piece):
                 kept[piece] = ids + self._tail(piece[len(word) :])
@@ -129,7 +132,8 @@ class Encoder:
         if self.word_ends:
             if first:
                 return None
-            body = body.lower() if body.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", body)))
+            body = unicodedata.normalize("NFC", body)
+            body = "".join(map(str.lower, body)) if "Σ" in body else body.lower()  # each sign by itself
             if not body.isalpha():  # a capital that lower case takes apart
                 return None
         if not body.isascii():
