@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches, parts, written
-from .tokens import encoder, text_list
+from .tokens import encoder, slices, text_list
 
 DIMS, BITS, WIDTH, SEED = 3, 10, 64, 11
 TIE_BITS = 32
@@ -92,10 +92,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
         width = encode.width if end_id < 1 << 16 else 4
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), text_list(batch.column(1))
-            for at in range(0, len(texts), 512):
-                got = [np.concatenate([np.frombuffer(raw, dtype="<u4"), end]) for raw in encode(texts[at : at + 512])]
-                some = ids[at : at + 512]
+            for part in slices(batch):
+                got = [np.concatenate([np.frombuffer(raw, dtype="<u4"), end]) for raw in encode(text_list(part.column(1)))]
+                some = part.column(0).to_pylist()
                 ties = [zlib.crc32(struct.pack("<qQ", doc_id or 0, row + k)) for k, doc_id in enumerate(some)]
                 row += len(some)
                 place = hilbert(curve.cells(got)) << TIE_BITS | np.array(ties, dtype=np.int64)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_batches, parts
-from .tokens import encoder, text_list
+from .tokens import encoder, slices, text_list
 
 MASK_DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
@@ -82,10 +82,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_co
         width = encode.width if end_id < 1 << 16 else 4
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), text_list(batch.column(1))
             out, size = [], 0
-            for at in range(0, len(texts), 512):
-                for doc_id, raw in zip(ids[at : at + 512], encode(texts[at : at + 512])):
+            for part in slices(batch):
+                for doc_id, raw in zip(part.column(0).to_pylist(), encode(text_list(part.column(1)))):
                     out.append(frame(doc_id, np.concatenate([np.frombuffer(raw, dtype="<u4"), end]), width))
                     size += len(out[-1])
                     if size > _FLUSH:

@@ -21,7 +21,7 @@ from array import array
 
 import numpy as np
 
-PIECES_KEPT = 600_000  # bound of a worker's table of pieces; it starts anew beyond
+PIECES_KEPT = 350_000  # bound of a worker's table of pieces; it starts anew beyond
 _TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation without the apostrophe of contractions
 _MARK = "\0"  # in front of a piece that has no space before it
 _LOADED: dict[str, Encoder] = {}
@@ -151,6 +151,12 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
+def slices(batch, rows: int = 512):
+    """Parts of an Arrow batch, so that few texts are Python strings at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def text_list(column) -> list[str]:
     """An Arrow column of strings as a list, null as the empty text."""
     return [t or "" for t in column.to_pylist()]
