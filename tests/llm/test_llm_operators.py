@@ -415,6 +415,23 @@ def test_surrogates_stay_different(spark):
     assert max(r["attempt"] for r in table) > 0
 
 
+def test_surrogates_of_cards_beside_digits(spark):
+    card = "4111111111111111"
+    lines = [
+        ("4111 1111 1111 1111 123", r"(4\d{3} \d{4} \d{4} \d{4}) 123"),
+        (f"{card} 12/27", r"(4\d{15}) 12/27"),
+        (f"no 12 {card}", r"no 12 (4\d{15})"),
+        ("4041894974608795 192.168.1.1", r"(4\d{15}) 2[45]\d(?:\.\d{1,3}){3}"),
+        ("on 2024-01-02 4111 1111 1111 1111 and 12-4111111111111111", r"on 2024-01-02 (4\d{3} \d{4} \d{4} \d{4}) and 12-4\d{15}"),
+        ("+1 555 123 4567 4111 1111 1111 1111", r"\+\d \d{3} \d{3} \d{4} (4\d{3} \d{4} \d{4} \d{4})"),
+        ("9807915762804490 10.1.2.3", r"(9807915762804490) 2[45]\d(?:\.\d{1,3}){3}"),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(lines)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(docs).collect()}
+    seen = {re.fullmatch(want, got[k])[1].replace(" ", "") for k, (_, want) in enumerate(lines)}
+    assert len(seen) == 3 and card not in seen and "4041894974608795" not in seen  # a card is one entity, however it is written
+
+
 def test_licences(spark, odd, none):
     mit = [licences.SENTENCES[k][0] for k in ("mit-grant", "mit-notice", "as-is", "no-liability")]
     texts = {

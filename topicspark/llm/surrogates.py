@@ -1,9 +1,9 @@
 """Personal data replaced by keyed surrogates, with DataFrame functions only.
 
 *Detection.* One pattern finds mentions: mail addresses, telephone numbers, network
-addresses, payment cards (13 to 19 digits with a right check digit), social security
-numbers, secrets behind a label (``password=``, ``token = "``) or of a known form, and
-names behind a title. Texts without a digit, an ``@`` or a title are not searched.
+addresses, payment cards (13 to 19 digits with a right check digit, also beside other
+digits), social security numbers, secrets behind a label (``password=``, ``token = "``)
+or of a known form, and names behind a title. Texts without a digit, an ``@`` or a title are not searched.
 *Entities.* A mention has a type and a plain form (digits of a number, a mail address
 in lower case), which is the same for all its mentions.
 *Surrogates.* A keyed SHA-256 of type and plain form picks characters of the same
@@ -51,6 +51,11 @@ NAME = TITLE + r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){0,2}"
 KINDS = (("email", EMAIL), ("secret", SECRET), ("secret", KEY_FORM), ("ip", IP), ("ssn", SSN), ("phone", PHONE), ("card", CARD), ("name", NAME))
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 WITHOUT_MAIL = "|".join(f"(?:{p})" for k, p in KINDS if k != "email")
+# Groups of digits in a row, each no part of a word; and texts in which such a row may
+# hold a card beside other digits (a row of four times four digits cannot).
+RUN = r"(?<![\w\-.])(?=[0-9](?:[ \-]?[0-9]){12})[0-9]++(?!\w)(?:[ \-][0-9]++(?!\w))*+"
+MIXED = r"(?<![\w\-.])(?=[0-9](?:[ \-]?[0-9]){12})(?=[0-9]++[ \-])(?![0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9])(?![ \-][0-9]))[0-9]"
+USUAL = r"\A(?:[0-9]+|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5})\z"
 WORTH = r"[0-9]|(?:" + "|".join((MALE, FEMALE, EITHER)) + r") \p{Lu}"
 
 _LETTERS = {  # of a script: letters and vowels
@@ -60,19 +65,6 @@ _LETTERS = {  # of a script: letters and vowels
 }
 
 
-def _both(text: Column, of) -> Column:
-    """``of(text, pattern)`` with the mail pattern only where there is an ``@``."""
-    return F.when(F.contains(text, F.lit("@")), of(text, PATTERN)).otherwise(of(text, WITHOUT_MAIL))
-
-
-def mentions(text: Column) -> Column:
-    return _both(text, lambda t, p: F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1)))
-
-
-def between(text: Column) -> Column:
-    return _both(text, lambda t, p: F.split(t, p, -1))
-
-
 def check_digit_right(digits: Column) -> Column:
     """Luhn's test of a string of digits."""
     turned = F.split(F.reverse(digits), "")
@@ -86,6 +78,60 @@ def _digits(mention: Column) -> Column:
     return F.regexp_replace(mention, "[^0-9]", "")
 
 
+def cards_in(text: Column) -> Column:
+    """Cards among the digits of ``text``: in each row of groups the windows of whole
+    groups with 13 to 19 digits and a right check digit; of windows that overlap the one
+    in a usual form, then the one nearest to 16 digits, then the first."""
+
+    def windows(groups: Column) -> Column:
+        def window(i: Column, n: Column) -> Column:
+            return bind(
+                F.regexp_replace(F.array_join(F.slice(groups, i, n), ""), r"\A[ \-]", ""),
+                lambda w: F.struct(
+                    (~w.rlike(USUAL)).cast("int").alias("odd"), F.abs(F.length(_digits(w)) - 16).alias("off"), i.alias("first"), (i + n).alias("end"), w.alias("text")
+                ),
+            )
+
+        count = F.size(groups)
+        every = F.flatten(F.transform(F.sequence(F.lit(1), count), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(19), count - i + 1)), lambda n: window(i, n))))
+        return F.array_sort(F.filter(every, lambda w: w["text"].rlike(rf"\A{CARD}\z") & check_digit_right(_digits(w["text"]))))
+
+    def apart(found: Column) -> Column:
+        meets = lambda a, w: F.exists(a, lambda x: (x["first"] < w["end"]) & (w["first"] < x["end"]))
+        return F.aggregate(found, F.slice(found, 1, 0), lambda a, w: F.when(meets(a, w), a).otherwise(F.concat(a, F.array(w))))
+
+    rows = F.regexp_extract_all(text, F.lit(f"({RUN})"), F.lit(1))
+    groups = lambda r: F.regexp_extract_all(r, F.lit(r"([ \-]?[0-9]+)"), F.lit(1))
+    chosen = F.flatten(F.transform(rows, lambda r: bind(bind(groups(r), windows), apart)))
+    return F.array_distinct(F.transform(chosen, lambda w: w["text"]))
+
+
+def _own_pattern(text: Column) -> Column:
+    """The pattern for one text: its cards stand in it as they are, so the digits beside
+    them are left to the other patterns, and no telephone number reaches into a card."""
+    cards = bind(F.array_join(cards_in(text), "|"), lambda c: F.when(c == "", F.lit("(?!)")).otherwise(c))
+    more = r"(?:[ .\-]?[0-9]{2,4})"
+    phone = PHONE.replace(more, rf"(?:(?![ .\-]?(?:CARDS)(?!\w)){more[3:]}")
+    own = {"card": r"(?<!\w)(?:CARDS)(?!\w)", "phone": phone}
+    whole = "|".join(f"(?:{own.get(k, p)})" for k, p in KINDS)
+    return F.replace(F.lit(whole), F.lit("CARDS"), cards)
+
+
+def _both(text: Column, of) -> Column:
+    """``of(text, pattern)`` with a pattern of its own for a text of mixed digits, and
+    the mail pattern only where there is an ``@``."""
+    plain = F.when(F.contains(text, F.lit("@")), of(text, F.lit(PATTERN))).otherwise(of(text, F.lit(WITHOUT_MAIL)))
+    return F.when(text.rlike(MIXED), of(text, _own_pattern(text))).otherwise(plain)
+
+
+def mentions(text: Column) -> Column:
+    return _both(text, lambda t, p: F.regexp_extract_all(t, F.concat(F.lit("("), p, F.lit(")")), F.lit(1)))
+
+
+def between(text: Column) -> Column:
+    return _both(text, lambda t, p: F.split(t, p, -1))
+
+
 def kind_of(mention: Column) -> Column:
     """Type of a mention; null for a number that is no card."""
     found = F.lit(None).cast("string")
