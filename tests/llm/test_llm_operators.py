@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -432,6 +433,20 @@ def test_surrogates_of_cards_beside_digits(spark):
     assert len(seen) == 3 and card not in seen and "4041894974608795" not in seen  # a card is one entity, however it is written
 
 
+def test_surrogates_of_a_crowded_format(spark):
+    """More entities than their format has surrogates: later ones are longer, and drawing ends."""
+    rows = [("email", f"a@{x}{y}.com", "") for x in "abcdefghijklmnopqrstuvwxyz" for y in range(39)][:1000]
+    rows += [("name", "".join(w), "") for w in itertools.product("BCDFGHJKLMNPQRST", "aeiou")]
+    rows += [("phone", f"12{n:04}", "") for n in range(1000)] + [("ssn", "001010001", "")]
+    table = surrogates.surrogate_table(spark.createDataFrame(rows, "kind string, plain string, gender string")).collect()
+    assert len(table) == len(rows) == len({(r["kind"], r["drawn"]) for r in table})
+    assert not {(r["kind"], r["drawn"]) for r in table} & {(k, p) for k, p, _ in rows}
+    assert all(re.fullmatch(r"[a-z]+@example\.org", r["drawn"]) for r in table if r["kind"] == "email")
+    shown = F.lit("+1 2 00 00").alias("m")
+    row = spark.range(1).select(surrogates.in_format(shown, F.lit("phone"), shown, F.lit("17345689")).alias("m")).first()
+    assert row["m"] == "+1 7 34 5689"
+
+
 def test_licences(spark, odd, none):
     mit = [licences.SENTENCES[k][0] for k in ("mit-grant", "mit-notice", "as-is", "no-liability")]
     texts = {

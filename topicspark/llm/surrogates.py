@@ -13,8 +13,9 @@ the reserved block 240.0.0.0/4, a mail address moves to a reserved domain, a giv
 name gets the ending of the gender that its title tells. The mention's own format
 (spaces, brackets, case) is kept.
 *Collision check.* A surrogate that two entities share, or that is some entity's own
-plain form, is drawn anew for all but the first, until none is left; so different
-entities stay different and equal ones equal, over the whole corpus.
+plain form, is drawn anew for all but the first, until none is left; after the first
+attempts it grows by keyed characters, so that a small format is never used up.
+Different entities stay different and equal ones equal, over the whole corpus.
 
 Text without mentions is neither shuffled nor changed. Documents with mentions are
 rebuilt from the pieces between them; their mentions, not their texts, meet the table
@@ -32,7 +33,7 @@ from ..functions.text import bind
 from .common import fresh, keyed_join, written
 
 KEY = "surrogate-key"
-ROUNDS = 40
+FORMAT_ROUNDS = 3  # attempts that keep the length of a format; each later one adds keyed characters
 
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_%+\-][\p{L}\p{N}._%+\-]*+@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*\.[A-Za-z]{2,}+(?![A-Za-z0-9])"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w])(?!\.[0-9])"
@@ -167,6 +168,13 @@ def _stream(kind: Column, plain: Column, attempt: Column, key: str) -> Column:
     return F.transform(hexes, lambda h: F.conv(h, 16, 10).cast("int"))
 
 
+def _longer(attempt: Column, stream: Column, letters: str) -> Column:
+    """Keyed characters to add to a surrogate that still collides after ``FORMAT_ROUNDS``:
+    two more at each attempt, so the space of a format is never used up."""
+    count = F.least(F.greatest((attempt - FORMAT_ROUNDS + 1) * 2, F.lit(0)), F.lit(128))
+    return F.array_join(F.transform(F.slice(F.reverse(stream), F.lit(1), count), lambda n: F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))), "")
+
+
 def _same_kind(text: Column, stream: Column, spoken: bool = False) -> Column:
     """Each letter and digit replaced by one of its kind; a text of hex digits stays one.
     ``spoken``: vowels for vowels too."""
@@ -188,18 +196,29 @@ def _same_kind(text: Column, stream: Column, spoken: bool = False) -> Column:
     return F.array_join(F.transform(F.split(text, ""), swap), "")
 
 
+def _more_name(word: Column, attempt: Column, stream: Column) -> Column:
+    """Keyed letters of the word's script to add to a name."""
+    more = _longer(attempt, stream, _LETTERS[r"\p{IsLatin}"][0])
+    for script, (letters, _) in list(_LETTERS.items())[1:]:
+        more = F.when(word.rlike(script), _longer(attempt, stream, letters)).otherwise(more)
+    return more
+
+
 def _drawn(entities: DataFrame, key: str) -> DataFrame:
     """``entities`` (kind, plain, gender, attempt) with ``drawn``, step by step: each
     column is named, so that no expression is repeated inside another."""
     at = lambda k: F.element_at("stream", k)
     stream = F.col("stream")
     rows = entities.withColumn("stream", _stream(F.col("kind"), F.col("plain"), F.col("attempt"), key))
+    longer = lambda letters: _longer(F.col("attempt"), stream, letters)
+    latin, digits = _LETTERS[r"\p{IsLatin}"][0], "0123456789"
     rows = rows.withColumn("domain", F.substring_index("plain", "@", -1)).withColumn("same", _same_kind(F.col("plain"), stream))
     rows = rows.withColumn("front", F.regexp_replace("domain", r"(?:\A|\.)[^.]+\.[^.]+\z", ""))
-    local = _same_kind(F.substring_index("plain", "@", 1), stream)
+    local = F.concat(_same_kind(F.substring_index("plain", "@", 1), stream), longer(latin))
     front = F.when(F.col("front") == "", F.lit("")).otherwise(F.concat(_same_kind(F.col("front"), stream), F.lit(".")))
     ip = F.concat_ws(".", (at(1) % 15 + 240).cast("string"), *(at(k).cast("string") for k in (2, 3, 4)))
-    rows = rows.withColumn("body", F.concat(F.substring("plain", 1, 1), F.expr("substring(same, 2, length(same) - 2)")))
+    ip = F.concat_ws(".", ip, F.when(F.col("attempt") >= FORMAT_ROUNDS, longer(digits)))
+    rows = rows.withColumn("body", F.concat(F.substring("plain", 1, 1), F.expr("substring(same, 2, length(same) - 2)"), longer(digits)))
     card = F.coalesce(*[F.when(check_digit_right(F.concat("body", F.lit(str(d)))), F.concat("body", F.lit(str(d)))) for d in range(10)])
     # a name's words are drawn each, so a surname is the same behind any given name
     words = F.transform(F.split("plain", " "), lambda w: _same_kind(w, _stream(F.col("kind"), w, F.col("attempt"), key), spoken=True))
@@ -212,9 +231,10 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
         F.when(F.col("kind") == "email", F.concat(local, F.lit("@"), front, F.lit("example.org")))
         .when(F.col("kind") == "ip", ip)
         .when(F.col("kind") == "card", card)
-        .when(F.col("kind") == "phone", F.concat(F.substring("plain", 1, 1), F.expr("substring(same, 2)")))
-        .when(F.col("kind") == "name", name)
-        .otherwise(F.col("same"))
+        .when(F.col("kind") == "phone", F.concat(F.substring("plain", 1, 1), F.expr("substring(same, 2)"), longer(digits)))
+        .when(F.col("kind") == "ssn", F.concat(F.col("same"), longer(digits)))
+        .when(F.col("kind") == "name", F.concat(name, _more_name(F.col("plain"), F.col("attempt"), stream)))
+        .otherwise(F.concat(F.col("same"), F.when(F.col("plain").rlike(r"\A[0-9a-f]+\z"), longer("0123456789abcdef")).otherwise(longer(latin))))
     )
     return rows.select("kind", "plain", "gender", "n", "attempt", drawn.alias("drawn"))
 
@@ -224,7 +244,7 @@ def surrogate_table(found: DataFrame, key: str = KEY) -> DataFrame:
     every entity has a surrogate of its own, which is no entity itself."""
     counted = found.groupBy("kind", "plain", "gender").agg(F.count(F.lit(1)).alias("n"))
     table = written(_drawn(counted.withColumn("attempt", F.lit(0)), key), "entities")
-    for _ in range(ROUNDS):
+    while True:  # ends: each attempt after the first few draws from a larger space
         taken = table.select("kind", F.col("plain").alias("drawn")).distinct().withColumn("taken", F.lit(True))
         order = Window.partitionBy("kind", "drawn").orderBy("attempt", "plain", "gender")
         checked = table.withColumn("place", F.row_number().over(order)).join(taken, ["kind", "drawn"], "left")
@@ -234,7 +254,6 @@ def surrogate_table(found: DataFrame, key: str = KEY) -> DataFrame:
             return table
         more = _drawn(checked.where("again").withColumn("attempt", F.col("attempt") + 1), key)
         table = written(checked.where("not again").drop("again").unionByName(more), "entities")
-    raise RuntimeError("surrogates still collide: the space of a format is used up")
 
 
 def in_format(mention: Column, kind: Column, value: Column, drawn: Column) -> Column:
@@ -246,7 +265,8 @@ def in_format(mention: Column, kind: Column, value: Column, drawn: Column) -> Co
         lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["text"], F.element_at(digits, a["at"])).alias("text"), (a["at"] + 1).alias("at"))).otherwise(
             F.struct(F.concat(a["text"], c).alias("text"), a["at"].alias("at"))
         ),
-    )["text"]
+    )
+    spread = F.concat(spread["text"], F.substr(drawn, spread["at"]))  # and the digits that were added
     written_as = F.when(kind.isin("phone", "card", "ssn"), spread).when((kind == "email") & (value == F.upper(value)), F.upper(drawn)).otherwise(drawn)
     return F.concat(F.substr(mention, F.lit(1), F.length(mention) - F.length(value)), written_as)
 
