@@ -447,6 +447,24 @@ def test_surrogates_of_a_crowded_format(spark):
     assert row["m"] == "+1 7 34 5689"
 
 
+def test_surrogates_of_one_person(spark):
+    """A name's words have the same surrogates behind every title and without one."""
+    lines = [
+        "Mr. Smith, Dr. Smith and Mrs. Smith met Mr. John Smith",
+        "Dr. Anna Miller came. Miller said so, and Anna too; Millers did not.",
+        "Mrs. Anna Miller, then Anna again, and Mr. Miller's brother",
+        "Miller alone is no name here",
+    ]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["text"], r["n_mentions"]) for r in surrogates.replace_entities(docs, count_col="n_mentions").collect()}
+    smith = re.fullmatch(r"Mr\. (\w+), Dr\. \1 and Mrs\. \1 met Mr\. (\w+o) \1", got[0][0])
+    first = re.fullmatch(r"Dr\. (\w+) (\w+) came\. \2 said so, and \1 too; Millers did not\.", got[1][0])
+    second = re.fullmatch(r"Mrs\. (\w+a) (\w+), then \1 again, and Mr\. \2's brother", got[2][0])
+    assert smith and first and second and first[2] == second[2] and first[1] + "a" == second[1]
+    assert not {*smith.groups(), *first.groups()} & {"Smith", "John", "Anna", "Miller"}
+    assert got[3] == (lines[3], 0) and [got[k][1] for k in range(3)] == [4, 3, 3]
+
+
 def test_licences(spark, odd, none):
     mit = [licences.SENTENCES[k][0] for k in ("mit-grant", "mit-notice", "as-is", "no-liability")]
     texts = {

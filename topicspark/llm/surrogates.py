@@ -3,14 +3,16 @@
 *Detection.* One pattern finds mentions: mail addresses, telephone numbers, network
 addresses, payment cards (13 to 19 digits with a right check digit, also beside other
 digits), social security numbers, secrets behind a label (``password=``, ``token = "``)
-or of a known form, and names behind a title. Texts without a digit, an ``@`` or a title are not searched.
+or of a known form, and names behind a title, whose words are then found in the same
+text without a title too. Texts without a digit, an ``@`` or a title are not searched.
 *Entities.* A mention has a type and a plain form (digits of a number, a mail address
 in lower case), which is the same for all its mentions.
 *Surrogates.* A keyed SHA-256 of type and plain form picks characters of the same
 kind: digits for digits, letters for letters of the same case and script. A card
 keeps its first digit and gets a right check digit, a network address becomes one of
-the reserved block 240.0.0.0/4, a mail address moves to a reserved domain, a given
-name gets the ending of the gender that its title tells. The mention's own format
+the reserved block 240.0.0.0/4, a mail address moves to a reserved domain. A name is
+drawn word by word, whatever its title; only what is shown of a given name gets the
+ending of the gender that the title tells. The mention's own format
 (spaces, brackets, case) is kept.
 *Collision check.* A surrogate that two entities share, or that is some entity's own
 plain form, is drawn anew for all but the first, until none is left; after the first
@@ -109,20 +111,23 @@ def cards_in(text: Column) -> Column:
 
 def _own_pattern(text: Column) -> Column:
     """The pattern for one text: its cards stand in it as they are, so the digits beside
-    them are left to the other patterns, and no telephone number reaches into a card."""
-    cards = bind(F.array_join(cards_in(text), "|"), lambda c: F.when(c == "", F.lit("(?!)")).otherwise(c))
+    them are left to the other patterns, and no telephone number reaches into a card.
+    The words of its names stand in it too, so they are found without a title."""
+    any_of = lambda words: bind(F.array_join(words, "|"), lambda c: F.when(c == "", F.lit("(?!)")).otherwise(c))
     more = r"(?:[ .\-]?[0-9]{2,4})"
     phone = PHONE.replace(more, rf"(?:(?![ .\-]?(?:CARDS)(?!\w)){more[3:]}")
     own = {"card": r"(?<!\w)(?:CARDS)(?!\w)", "phone": phone}
-    whole = "|".join(f"(?:{own.get(k, p)})" for k, p in KINDS)
-    return F.replace(F.lit(whole), F.lit("CARDS"), cards)
+    whole = "|".join(f"(?:{own.get(k, p)})" for k, p in KINDS) + r"|(?<!\p{L})(?:WORDS)(?!\p{L})"
+    titled = F.regexp_extract_all(text, F.lit(f"({NAME})"), F.lit(1))
+    words = F.array_distinct(F.flatten(F.transform(titled, lambda m: F.split(value_of(m, F.lit("name")), " "))))
+    return F.replace(F.replace(F.lit(whole), F.lit("CARDS"), any_of(cards_in(text))), F.lit("WORDS"), any_of(words))
 
 
 def _both(text: Column, of) -> Column:
-    """``of(text, pattern)`` with a pattern of its own for a text of mixed digits, and
-    the mail pattern only where there is an ``@``."""
+    """``of(text, pattern)`` with a pattern of its own for a text of mixed digits or with
+    names, and the mail pattern only where there is an ``@``."""
     plain = F.when(F.contains(text, F.lit("@")), of(text, F.lit(PATTERN))).otherwise(of(text, F.lit(WITHOUT_MAIL)))
-    return F.when(text.rlike(MIXED), of(text, _own_pattern(text))).otherwise(plain)
+    return F.when(text.rlike(f"{MIXED}|{NAME}"), of(text, _own_pattern(text))).otherwise(plain)
 
 
 def mentions(text: Column) -> Column:
@@ -157,6 +162,33 @@ def gender_of(mention: Column) -> Column:
     return F.when(mention.rlike(rf"\A(?:{MALE}) "), "m").when(mention.rlike(rf"\A(?:{FEMALE}) "), "f").otherwise("")
 
 
+def typed_mentions(found: Column) -> Column:
+    """(mention, kind, gender) of the mentions of a text. A word of a name that stands
+    alone has the gender of the first whole name in the text that begins with it."""
+    typed = F.transform(found, lambda x: F.struct(x.alias("mention"), kind_of(x).alias("kind")))
+    titled = lambda t: F.transform(
+        F.filter(t, lambda x: x["kind"] == "name"),
+        lambda x: F.struct(F.split(value_of(x["mention"], F.lit("name")), " ").alias("words"), gender_of(x["mention"]).alias("gender")),
+    )
+
+    def told(t: Column, names: Column) -> Column:
+        words = F.flatten(F.transform(names, lambda n: n["words"]))
+        first = lambda w: F.get(F.filter(names, lambda n: (F.size(n["words"]) > 1) & (F.element_at(n["words"], 1) == w) & (n["gender"] != "")), F.lit(0))["gender"]
+
+        def one(x: Column) -> Column:
+            value = value_of(x["mention"], F.lit("name"))
+            is_name = (x["kind"] == "name") | (x["kind"].isNull() & F.array_contains(words, x["mention"]))
+            gender = F.when(F.contains(value, F.lit(" ")), gender_of(x["mention"])).otherwise(F.coalesce(first(value), F.lit("")))
+            return F.struct(
+                x["mention"].alias("mention"), F.when(is_name, "name").otherwise(x["kind"]).alias("kind"), F.when(is_name, gender).otherwise("").alias("gender")
+            )
+
+        return F.transform(t, one)
+
+    named = lambda t: bind(titled(t), lambda names: F.when(F.size(names) == 0, F.transform(t, lambda x: x.withField("gender", F.lit("")))).otherwise(told(t, names)))
+    return bind(typed, named)
+
+
 def plain_form(value: Column, kind: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn"), _digits(value)).when(kind == "email", F.lower(value)).otherwise(value)
 
@@ -205,7 +237,7 @@ def _more_name(word: Column, attempt: Column, stream: Column) -> Column:
 
 
 def _drawn(entities: DataFrame, key: str) -> DataFrame:
-    """``entities`` (kind, plain, gender, attempt) with ``drawn``, step by step: each
+    """``entities`` (kind, plain, n, attempt) with ``drawn``, step by step: each
     column is named, so that no expression is repeated inside another."""
     at = lambda k: F.element_at("stream", k)
     stream = F.col("stream")
@@ -220,38 +252,46 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
     ip = F.concat_ws(".", ip, F.when(F.col("attempt") >= FORMAT_ROUNDS, longer(digits)))
     rows = rows.withColumn("body", F.concat(F.substring("plain", 1, 1), F.expr("substring(same, 2, length(same) - 2)"), longer(digits)))
     card = F.coalesce(*[F.when(check_digit_right(F.concat("body", F.lit(str(d)))), F.concat("body", F.lit(str(d)))) for d in range(10)])
-    # a name's words are drawn each, so a surname is the same behind any given name
-    words = F.transform(F.split("plain", " "), lambda w: _same_kind(w, _stream(F.col("kind"), w, F.col("attempt"), key), spoken=True))
-    rows = rows.withColumn("words", F.when(F.col("kind") == "name", words))
-    first = F.element_at("words", 1)
-    ends = F.when(F.size("words") < 2, F.lit("")).when(F.col("gender") == "f", F.lit("a")).when(F.col("gender") == "m", F.lit("o")).otherwise("")
-    ends = F.when(first.rlike(r"\p{IsCyrillic}"), F.translate(ends, "ao", "ао")).when(first.rlike(r"\p{IsGreek}"), F.translate(ends, "ao", "αο")).otherwise(ends)
-    name = F.array_join(F.concat(F.array(F.concat(first, ends)), F.slice("words", 2, 9)), " ")
+    name = F.concat(_same_kind(F.col("plain"), stream, spoken=True), _more_name(F.col("plain"), F.col("attempt"), stream))
     drawn = (
         F.when(F.col("kind") == "email", F.concat(local, F.lit("@"), front, F.lit("example.org")))
         .when(F.col("kind") == "ip", ip)
         .when(F.col("kind") == "card", card)
         .when(F.col("kind") == "phone", F.concat(F.substring("plain", 1, 1), F.expr("substring(same, 2)"), longer(digits)))
         .when(F.col("kind") == "ssn", F.concat(F.col("same"), longer(digits)))
-        .when(F.col("kind") == "name", F.concat(name, _more_name(F.col("plain"), F.col("attempt"), stream)))
+        .when(F.col("kind") == "name", name)
         .otherwise(F.concat(F.col("same"), F.when(F.col("plain").rlike(r"\A[0-9a-f]+\z"), longer("0123456789abcdef")).otherwise(longer(latin))))
     )
-    return rows.select("kind", "plain", "gender", "n", "attempt", drawn.alias("drawn"))
+    return rows.select("kind", "plain", "n", "attempt", drawn.alias("drawn"))
+
+
+def _ending(first: Column, gender: Column) -> Column:
+    """What the gender adds to a given name."""
+    ends = F.when(gender == "f", "a").when(gender == "m", "o").otherwise("")
+    return F.when(first.rlike(r"\p{IsCyrillic}"), F.translate(ends, "ao", "ао")).when(first.rlike(r"\p{IsGreek}"), F.translate(ends, "ao", "αο")).otherwise(ends)
+
+
+def _apart(kind: Column, drawn: Column) -> Column:
+    """What has to differ between entities: of a name the part before all endings, so
+    that names stay different with any ending."""
+    return F.when(kind == "name", F.regexp_replace(drawn, "[aoаоαο]+$", "")).otherwise(drawn)
 
 
 def surrogate_table(found: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, plain, gender, n, attempt, drawn) for all entities of ``found`` (kind, plain, gender):
-    every entity has a surrogate of its own, which is no entity itself."""
-    counted = found.groupBy("kind", "plain", "gender").agg(F.count(F.lit(1)).alias("n"))
+    """(kind, plain, n, attempt, drawn) for all entities of ``found`` (kind, plain), a
+    name's words being one each: every entity has a surrogate of its own, which is no
+    entity itself."""
+    counted = found.groupBy("kind", "plain").agg(F.count(F.lit(1)).alias("n"))
     table = written(_drawn(counted.withColumn("attempt", F.lit(0)), key), "entities")
     while True:  # ends: each attempt after the first few draws from a larger space
-        taken = table.select("kind", F.col("plain").alias("drawn")).distinct().withColumn("taken", F.lit(True))
-        order = Window.partitionBy("kind", "drawn").orderBy("attempt", "plain", "gender")
-        checked = table.withColumn("place", F.row_number().over(order)).join(taken, ["kind", "drawn"], "left")
+        table = table.withColumn("apart", _apart(F.col("kind"), F.col("drawn")))
+        taken = table.select("kind", _apart(F.col("kind"), F.col("plain")).alias("apart")).distinct().withColumn("taken", F.lit(True))
+        order = Window.partitionBy("kind", "apart").orderBy("attempt", "plain")
+        checked = table.withColumn("place", F.row_number().over(order)).join(taken, ["kind", "apart"], "left")
         again = (F.col("place") > 1) | F.col("taken").isNotNull()
-        checked = written(checked.select("kind", "plain", "gender", "n", "attempt", "drawn", again.alias("again")), "checked")
+        checked = written(checked.select("kind", "plain", "n", "attempt", "drawn", again.alias("again")), "checked")
         if not checked.where("again").limit(1).count():
-            return table
+            return table.drop("apart")
         more = _drawn(checked.where("again").withColumn("attempt", F.col("attempt") + 1), key)
         table = written(checked.where("not again").drop("again").unionByName(more), "entities")
 
@@ -277,24 +317,31 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY, co
     text = F.col(text_col)
     key_a, key_b, found, new = (fresh(docs, n) for n in ("key_a", "key_b", "found", "new"))
     worth = F.coalesce(F.contains(text, F.lit("@")) | text.rlike(WORTH), F.lit(False))
-    typed = bind(
-        mentions(text), lambda m: F.transform(m, lambda x: F.struct(x.alias("mention"), kind_of(x).alias("kind")))
-    )
+    typed = typed_mentions(mentions(text))
     searched = docs.where(worth).withColumns({key_a: F.xxhash64(text), key_b: F.md5(text)})
     with_found = searched.withColumn(found, typed)
     any_of = lambda c: F.exists(c, lambda x: x["kind"].isNotNull())
 
     # places of the mentions of each different text
     each = with_found.select(key_a, key_b, found).where(any_of(F.col(found))).dropDuplicates([key_a, key_b])
-    each = each.select(key_a, key_b, F.posexplode(found).alias("at", "m")).select(key_a, key_b, "at", "m.mention", "m.kind")
+    each = each.select(key_a, key_b, F.posexplode(found).alias("at", "m")).select(key_a, key_b, "at", "m.mention", "m.kind", "m.gender")
     each = each.withColumn("value", value_of(F.col("mention"), F.col("kind")))
     each = each.withColumn("plain", plain_form(F.col("value"), F.col("kind")))
-    gender = F.when(F.col("kind") == "name", gender_of(F.col("mention"))).otherwise("")
-    each = written(each.withColumn("gender", gender).withColumn("entity", F.concat_ws("|", "kind", "gender", "plain")), "mentions")
+    each = written(each, "mentions")
     known = each.where(F.col("kind").isNotNull())
-    table = surrogate_table(known.select("kind", "plain", "gender"), key)
-    named = written(table.select(F.concat_ws("|", "kind", "gender", "plain").alias("entity"), "n", "drawn"), "named")
+    # a name's words are entities each, so a surname is the same behind any given name and title
+    parts = F.when(F.col("kind") == "name", F.split("plain", " ")).otherwise(F.array("plain"))
+    known = known.select("*", F.posexplode(parts).alias("part", "word")).withColumn("entity", F.concat_ws("|", "kind", "word"))
+    table = surrogate_table(known.select("kind", F.col("word").alias("plain")), key)
+    named = written(table.select(F.concat_ws("|", "kind", "plain").alias("entity"), "n", "drawn"), "named")
     joined = keyed_join(known, named, "entity", [F.monotonically_increasing_id()], known.count(), "inner")
+    is_name = F.col("kind") == "name"
+    ended = F.when(is_name & (F.col("part") == 0), F.concat("drawn", _ending(F.col("drawn"), F.col("gender")))).otherwise(F.col("drawn"))
+    joined = joined.withColumn("drawn", ended)
+    in_words = is_name & F.contains(F.col("value"), F.lit(" "))
+    names = joined.where(in_words).groupBy(key_a, key_b, "at", "mention", "kind", "value").agg(F.sort_array(F.collect_list(F.struct("part", "drawn"))).alias("words"))
+    names = names.withColumn("drawn", F.array_join(F.transform("words", lambda w: w["drawn"]), " ")).drop("words")
+    joined = joined.where(~in_words).select(names.columns).unionByName(names)
     shown = joined.select(key_a, key_b, "at", in_format(F.col("mention"), F.col("kind"), F.col("value"), F.col("drawn")).alias("shown"))
     shown = shown.unionByName(each.where(F.col("kind").isNull()).select(key_a, key_b, "at", F.col("mention").alias("shown")))
     lists = shown.groupBy(key_a, key_b).agg(F.sort_array(F.collect_list(F.struct("at", "shown"))).alias(new))
