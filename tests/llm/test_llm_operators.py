@@ -347,6 +347,25 @@ def test_leaks_in_blocks(spark, sf_dir, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == whole and whole
 
 
+def test_leaks_beside_changed_words():
+    """The longest stretch that agrees enough is found, whatever the words beside it."""
+    for n, rest in ((40, 300), (15, 120), (20, 130)):
+        item = [f"w{k}" for k in range(n + rest)]
+        doc = [w if k < n or k % 4 else f"x{k}" for k, w in enumerate(item)]
+        [(_, at, _, size, same)] = decontaminate.Index([(1, " ".join(item))]).search([" ".join(doc)])[0]
+        good = [(e - b, -b) for b in range(len(item)) for e in range(b + 12, len(item) + 1) if 5 * sum(map(str.__eq__, doc[b:e], item[b:e])) >= 4 * (e - b)]
+        assert (size, -at) == max(good) and same >= 0.8 * size
+    rng = np.random.default_rng(0)
+    for n, changed in ((5, 1), (6, 1), (7, 1), (8, 1), (9, 1), (12, 2), (15, 3), (20, 4)):
+        found = 0
+        for trial in range(50):
+            doc = [f"w{k}" for k in range(n)]
+            for k in rng.choice(n, changed, replace=False):
+                doc[k] = "other"
+            found += bool(decontaminate.Index([(1, " ".join(f"w{k}" for k in range(n)))]).search([" ".join(["a", *doc, "b"])])[0])
+        assert found >= (50 if n < 10 else 45), (n, changed, found)
+
+
 def test_hilbert_is_a_curve():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     index = packing.hilbert(cells, 3)

@@ -4,16 +4,15 @@ Texts and benchmark items are cut into words without case and ASCII punctuation.
 A seed is a fixed mask over a window of words: the words under a 1 are hashed, the
 others may differ. Hashes of the items' windows are kept sorted; a document's
 windows are looked up there by binary search, and each hit fixes an alignment of
-the document with an item, which is then compared word by word. The stretch with
-the best score around the hit (a same word 1, another -2) is a leak if it is at
-least ``OVERLAP`` words long (or the whole of a shorter item) and ``SAME`` of its
-words agree.
+the document with an item, which is then compared word by word. The longest stretch of
+which ``SAME`` of the words agree is a leak if it is at least ``OVERLAP`` words long
+(or the whole of a shorter item).
 
 Items go to the tasks in blocks of bounded size, each block over all documents, so
 a benchmark of any size is searched whole. Documents are neither shuffled nor
 joined: a block and its hashes fit a task.
 
-Items shorter than a mask are looked up by all their words; an item with fewer
+Items shorter than the first mask have masks of four words; an item with fewer
 than ``SHORTEST`` words is too common a phrase to prove a leak and finds nothing.
 Null and empty texts have no leak; repeated rows are answered each; a null id is
 kept; an empty table on either side gives no row. Other columns are ignored by
@@ -33,8 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, ship
 
-MASKS = ("11111111", "110110011011", "101101101101", "111001010111")
+MASKS = (
+    "11111111", "110110011011", "101101101101", "111001010111",
+    "111111", "1101011001", "1011001101", "110010100011", "11111", "11100101", "10101101",
+)
+SHORT_MASKS = ("1111", "11011", "10111", "11101")  # of items shorter than the first mask: one of 5 to 7 words may differ
 OVERLAP, SAME, SHORTEST = 12, 0.8, 5
+_WHOLE, _SHARE = 5, 4  # SAME as a fraction of whole numbers
 BLOCK_WORDS = 2_000_000
 LEAKS = "doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_words bigint, n_same bigint, identity double"
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -61,7 +65,8 @@ class Index:
         shapes = {mask: [k for k, w in enumerate(self.words) if len(w) >= len(mask)] for mask in masks}
         for k, found in enumerate(self.words):
             if len(found) < len(masks[0]):
-                shapes.setdefault("1" * len(found), []).append(k)
+                for mask in SHORT_MASKS:
+                    shapes.setdefault(mask, []).append(k)
         self.seeds = []
         for mask, own in shapes.items():
             places = np.array([at for at, c in enumerate(mask) if c == "1"])
@@ -126,15 +131,23 @@ class Index:
 
     @staticmethod
     def _overlaps(doc: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, int, int, int]]:
-        """The best stretch of the item laid over the document at ``shift``, if it is a leak."""
+        """The longest stretch of the item laid over the document at ``shift`` of which
+        ``SAME`` agrees, if it is a leak."""
         first, last = max(0, -shift), min(len(item), len(doc) - shift)
+        if last - first < min(OVERLAP, len(item)):
+            return []
         same = doc[first + shift : last + shift] == item[first:last]
-        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-        low = np.minimum.accumulate(total)
-        end = int(np.argmax(total - low))
-        start = int(np.flatnonzero(total[: end + 1] == low[end])[0])
-        n, hits = end - start, int(same[start:end].sum())
-        if n < min(OVERLAP, len(item)) or hits < SAME * n:
+        hits_to = np.concatenate([[0], np.cumsum(same)])
+        total = hits_to * _WHOLE - np.arange(len(hits_to)) * _SHARE  # in whole numbers: no rounding
+        # a stretch from s to e is good if total[e] >= total[s]; the longest begins at a new
+        # low, and ends at the last place from which the total is as high again
+        lows = np.flatnonzero(total < np.concatenate([[total[0] + 1], np.minimum.accumulate(total)[:-1]]))
+        highest = np.maximum.accumulate(total[::-1])[::-1]
+        ends = np.searchsorted(-highest, -total[lows], "right") - 1
+        k = int(np.argmax(ends - lows))
+        start, end = int(lows[k]), int(ends[k])
+        n, hits = end - start, int(hits_to[end] - hits_to[start])
+        if n < min(OVERLAP, len(item)):
             return []
         return [(first + start + shift, first + start, n, hits)]
 
