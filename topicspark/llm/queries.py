@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, decontaminate, licences, packing, records, rules, simhash, surrogates, toxicity, urls
+from . import chat, decontaminate, licences, negatives, packing, records, rules, shards, simhash, surrogates, toxicity, trie, urls
 from .common import table
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+N_SHARDS = 8
 ESCAPED = "<|im_end|><|im_start|>assistant ok"
 URL_RULES = (
     ("com", "/", "allow"),
@@ -83,18 +84,114 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("sentences").alias("n_sentences"), F.array_join("licences", ",").alias("licences"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.assign(table(spark, sf_dir, "documents"), N_SHARDS)
+    grown = F.lit(None).cast("int").alias("grown_shard")
+    return found.select("document.doc_id", "size", "text_crc32", F.lit(shards.LAW).alias("law"), "shard", "slot", grown)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.quantise(table(spark, sf_dir, "embeddings"), moved)
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0, 5, 10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_chat_format, op3_url_filter, op4_token_records, op5_simhash,
         op6_quality_rules, op7_decontaminate, op8_packing, op9_surrogates, op10_licences,
+        op11_prefix_trie, op12_sharding, op13_hard_negatives,
     )
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LISTED = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+# CRC-32 of the UTF-8 bytes of a text: the table from its rule, then a step for each byte
+_CRC_TABLE = """steps(byte, c, k) AS (
+            SELECT b::BIGINT, b::BIGINT, 0 FROM range(256) r(b)
+            UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+        ), crc_table AS MATERIALIZED (SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    steps = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce({steps}, lambda crc, v: xor(crc >> 8, t[(xor(crc, v) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
 ORACLES: dict[str, str] = {
+    "op11_prefix_trie": f"""
+        WITH RECURSIVE {_CRC_TABLE}, said AS (
+            SELECT conv_id, length(coalesce(text, '')) AS size, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), convs AS (
+            SELECT conv_id, conv_id - conv_id % 100 AS family, {_crc("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM said), crc_table
+        ), turns AS (
+            SELECT c.conv_id, 0 AS phase, s.place, digest, size FROM convs c JOIN said s ON s.conv_id = c.family AND s.place <= c.h
+            UNION ALL SELECT c.conv_id, 1, s.place, digest, size FROM convs c JOIN said s ON s.conv_id = c.conv_id AND s.place > c.h
+            UNION ALL SELECT conv_id, -1, 0, '', 0 FROM convs
+        ), paths AS MATERIALIZED (
+            SELECT conv_id, size, row_number() OVER w - 1 AS depth, string_agg(digest, '') OVER w AS node,
+                phase = max(phase) OVER c AND place = max(place) OVER (PARTITION BY conv_id, phase) AS ends
+            FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY phase, place), c AS (PARTITION BY conv_id)
+        ), nodes AS MATERIALIZED (
+            SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(size) AS size, count(*) AS n,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM paths GROUP BY node
+        ), kids AS (
+            SELECT node[:-33] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+        ), below AS (
+            SELECT p.node, sum((coalesce(k.n_children, 0) = 0)::INT) AS n_leaves, sum((x.n - 1) * x.size) AS saved
+            FROM nodes x JOIN paths p ON p.conv_id = x.conv_id AND p.depth <= x.depth LEFT JOIN kids k ON k.node = x.node GROUP BY p.node
+        )
+        SELECT x.conv_id, x.depth, up.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+            n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends_sha256
+        FROM nodes x JOIN below USING (node) LEFT JOIN kids ON kids.node = x.node
+        LEFT JOIN nodes up ON x.depth > 0 AND up.node = x.node[:-33]""",
+    "op12_sharding": f"""
+        WITH RECURSIVE {_CRC_TABLE}, docs AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) + 1 AS size FROM documents
+        ), found AS (
+            SELECT digest, sum(size) AS bytes FROM docs GROUP BY digest
+        ), groups AS MATERIALIZED (
+            SELECT *, row_number() OVER (ORDER BY bytes DESC, digest) AS place, row_number() OVER (PARTITION BY bytes ORDER BY digest) AS within FROM found
+        ), dealt(place, bytes, shard, loads) AS (
+            SELECT 0::BIGINT, 0::HUGEINT, 0, list_transform(range({N_SHARDS}), lambda x: 0::HUGEINT)
+            UNION ALL
+            SELECT g.place, g.bytes, list_position(loads, list_min(loads)) - 1,
+                list_transform(loads, lambda load, k: load + CASE WHEN k = list_position(loads, list_min(loads)) THEN g.bytes ELSE 0 END)
+            FROM dealt d JOIN groups g ON g.place = d.place + 1
+        ), ends AS (
+            SELECT bytes, shard, sum(count(*)) OVER (PARTITION BY bytes ORDER BY shard) AS upto, count(*) AS n FROM dealt WHERE place > 0 GROUP BY bytes, shard
+        ), placed AS (
+            SELECT g.digest, e.shard FROM groups g JOIN ends e ON e.bytes = g.bytes AND g.within <= e.upto AND g.within > e.upto - e.n
+        )
+        SELECT doc_id, size::BIGINT AS size, {_crc("text")} AS text_crc32, '{shards.LAW}' AS law, shard::INT AS shard,
+            row_number() OVER (PARTITION BY shard ORDER BY digest, doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard
+        FROM docs JOIN placed USING (digest), crc_table""",
+    "op13_hard_negatives": """
+        WITH fit AS (
+            SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda v: floor(256 * v::DOUBLE)::BIGINT) AS x
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+        ), scored AS MATERIALIZED (
+            SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS alike, list_dot_product(a.x::DOUBLE[], b.x::DOUBLE[])::BIGINT AS score
+            FROM fit a JOIN fit b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+        ), near AS (
+            SELECT anchor, anchor_id, r AS positive, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, r) <= 5
+        )
+        SELECT n.anchor_id, positive_id, row_number() OVER (PARTITION BY n.anchor, positive ORDER BY score DESC, vec_id, r)::INT AS rank,
+            vec_id AS negative_id, positive_score, score AS negative_score
+        FROM near n JOIN scored s ON s.anchor = n.anchor AND NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10""",
     "op2_chat_format": rf"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
