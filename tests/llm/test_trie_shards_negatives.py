@@ -78,7 +78,7 @@ def test_trie_against_a_plain_one(spark, monkeypatch, cells):
 
 
 def test_trie_over_many_tasks(spark, monkeypatch):
-    monkeypatch.setattr(trie, "parts", lambda df: 23)
+    monkeypatch.setattr(trie, "tasks", lambda df: 23)
     monkeypatch.setattr(trie, "CHUNK", 50)
     rows = conversations(spark, 2)
     assert found_trie(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")) == plain_trie(rows)

@@ -9,6 +9,7 @@ may span any number of partitions; a task holds one batch at a time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.layout import input_bytes
 from ..plans.lookups import settle
-from .common import in_batches
+from .common import PART_BYTES, in_batches
 
 PART = "_part"
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks for passes over rows made from ``df``: enough for its bytes, one a core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(input_bytes(df) / PART_BYTES))
+
+
 def ordered(df: DataFrame, n_parts: int, *order: Column) -> DataFrame:
     """``df`` sorted over all partitions, written once, with each row's partition."""
     return settle(df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn(PART, F.spark_partition_id()))

@@ -37,8 +37,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_batches, keyed_join, parts, written
-from .scans import ordered, running_sums
+from ..plans.lookups import settle
+from .common import in_batches, keyed_join, written
+from .scans import ordered, running_sums, tasks
 
 HEADS = 6
 FAMILY = 100
@@ -86,7 +87,7 @@ def prefixes(conversations: DataFrame) -> DataFrame:
     """Every prefix of every rebuilt conversation, in order: its depth, its two sums, those
     of the prefix before it, the ``size`` of its last text, and whether the conversation ``ends``."""
     rows = rebuilt(conversations)
-    rows = ordered(rows, parts(conversations), F.col("conv_id"), F.col("phase"), F.col("turn").asc_nulls_first(), F.col("digest"), F.col("row"))
+    rows = ordered(rows, tasks(conversations), F.col("conv_id"), F.col("phase"), F.col("turn").asc_nulls_first(), F.col("digest"), F.col("row"))
     counted = rows.withColumn("led", (F.col("phase") == 1).cast("bigint")).withColumn("own", (F.col("phase") == 2).cast("bigint"))
     counted = running_sums(counted, "conv_id", ["led", "own"]).where((F.col("phase") < 2) | (F.col("own") > F.col("h")))
     placed = counted.withColumn("depth", F.col("led") + F.greatest(F.col("own") - F.col("h"), F.lit(0)))
@@ -96,7 +97,7 @@ def prefixes(conversations: DataFrame) -> DataFrame:
         F.when(root, F.lit(0)).otherwise(F.xxhash64("depth", "digest")).alias("a"),
         F.when(root, F.lit(0)).otherwise(F.xxhash64("digest", F.lit("b"), "depth")).alias("b"),
     )
-    return running_sums(hashed, "conv_id", ["a", "b"], last="ends")
+    return settle(running_sums(hashed, "conv_id", ["a", "b"], last="ends"))  # read several times
 
 
 def _cells(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -195,7 +196,7 @@ def screened(found: DataFrame) -> DataFrame:
     return told.select("conv_id", "depth", "size", "ends", key.alias("node"), F.when(F.col("depth") > 0, before).alias("parent"), tail.alias("tail"))
 
 
-def _ends(shared: DataFrame, n_parts: int) -> DataFrame:
+def _ends(shared: DataFrame) -> DataFrame:
     """For each node the digest of the ids of the conversations that end there."""
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +223,7 @@ def _ends(shared: DataFrame, n_parts: int) -> DataFrame:
     block = F.shiftright("conv_id", BLOCK_BITS).alias("block")
     ids = F.array_sort(F.collect_list("conv_id"))  # one block: at most 1 << BLOCK_BITS ids, as an id ends once
     blocks = shared.where("ends").groupBy("node", block).agg(F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").alias("ids"))
-    sorted_ = blocks.repartition(n_parts, "node").sortWithinPartitions("node", "block")
+    sorted_ = blocks.repartition("node").sortWithinPartitions("node", "block")
     return sorted_.select("node", "ids").transform(in_batches, digested, "node string, ends_sha256 string")
 
 
@@ -233,7 +234,7 @@ def _node(n_convs, n_children, n_leaves, saved, ends) -> list[Column]:
 
 def trie(conversations: DataFrame) -> DataFrame:
     """The nodes of the trie, each with the figures of its members and of its subtree."""
-    n_parts = parts(conversations)
+    n_parts = tasks(conversations)
     rows = written(screened(prefixes(conversations)), "prefixes")
     shared, tops, tails = (rows.where(F.col("tail") == k).drop("tail") for k in range(3))
 
@@ -254,7 +255,7 @@ def trie(conversations: DataFrame) -> DataFrame:
 
     top_count, child_count = tops.count(), found.count()
     parents = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"), "n_children", "tops")
-    inner = nodes.join(totals, "node", "left").join(_ends(shared, n_parts), "node", "left")
+    inner = nodes.join(totals, "node", "left").join(_ends(shared), "node", "left")
     inner = keyed_join(inner, parents.select("parent", "parent_conv_id", F.col("n_children").alias("n")), "parent", [F.col("node")], child_count)
     tops = keyed_join(tops, parents.select("parent", "parent_conv_id", F.col("tops").alias("n")), "parent", [F.col("conv_id")], top_count)
 
