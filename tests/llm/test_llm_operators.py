@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -109,15 +110,27 @@ def test_toxicity_finds_planted_words(spark, odd, none):
     assert toxicity.fit(none, truth).weight.any() == np.False_
 
 
-def test_segments_are_maximal():
+def plain_segments(weight, low=0):
+    """By definition: the best segment (the shortest of equal ones, the first), then both sides of it."""
+    found = [(sum(weight[a:b]), a - b, -a, b) for a in range(len(weight)) for b in range(a + 1, len(weight) + 1)]
+    if not found or max(found)[0] <= 0:
+        return []
+    gained, _, a, b = max(found)
+    return [*plain_segments(weight[:-a], low), (low - a, low + b, gained), *plain_segments(weight[b:], low + b)]
+
+
+def test_segments_are_all_maximal_ones():
     rng = np.random.default_rng(4)
-    for _ in range(200):
-        weight = rng.normal(-0.3, 1, rng.integers(0, 30))
-        found = toxicity.segments(weight)
-        best = max((weight[a:b].sum() for a in range(len(weight)) for b in range(a + 1, len(weight) + 1)), default=0)
-        assert max((s for _, _, s in found), default=0) == pytest.approx(max(best, 0))
-        assert all(weight[a:b].sum() == pytest.approx(s) and s > 0 for a, b, s in found)
-        assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+    for k in range(400):
+        weight = rng.normal(-0.3, 1, rng.integers(0, 25)) if k % 2 else rng.integers(-5, 6, rng.integers(0, 25)).astype(float)
+        assert toxicity.segments(weight) == [(a, b, pytest.approx(s)) for a, b, s in plain_segments(list(weight))]
+
+
+def test_segments_take_linear_time():
+    falling, rising = np.tile([1.0, -1.5], 100_000), np.tile([1.5, -1.0], 100_000)
+    start = time.process_time()
+    assert len(toxicity.segments(falling)) == 100_000 and len(toxicity.segments(rising)) == 1
+    assert time.process_time() - start < 5
 
 
 def test_words_of_toxicity():

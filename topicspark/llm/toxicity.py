@@ -112,21 +112,30 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def segments(weight: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal segments (first, last + 1, score) of a row of weights."""
+    """All maximal segments (first, last + 1, score) of a row of weights, in linear time.
+
+    Words are added up to runs of positive ones first: a maximal segment holds whole runs. Each kept
+    segment remembers the nearest earlier one that starts at a smaller total; those between
+    start no lower than it does, so a search that has passed it skips them all."""
+    signs = np.concatenate([[False], weight > 0, [False]])
+    turns = np.flatnonzero(signs[1:] != signs[:-1])
+    if not len(turns):
+        return []
     total = np.concatenate([[0.0], np.cumsum(weight)])
-    kept: list[tuple[int, int, float, float]] = []  # first, end, total before, total after
-    for at in np.flatnonzero(weight > 0).tolist():
-        new = (at, at + 1, float(total[at]), float(total[at + 1]))
+    firsts, ends = turns[::2], turns[1::2]
+    kept: list[tuple[int, int, float, float, int]] = []  # first, end, total before, total after, link
+    for first, end, before, after in zip(firsts.tolist(), ends.tolist(), total[firsts].tolist(), total[ends].tolist()):
+        back = len(kept) - 1
         while True:
-            back = len(kept) - 1
-            while back >= 0 and kept[back][2] >= new[2]:
-                back -= 1
-            if back < 0 or kept[back][3] >= new[3]:
-                kept.append(new)
+            while back >= 0 and kept[back][2] >= before:
+                back = kept[back][4]
+            if back < 0 or kept[back][3] >= after:
+                kept.append((first, end, before, after, back))
                 break
-            new = (kept[back][0], new[1], kept[back][2], new[3])
+            first, _, before, _, link = kept[back]
             del kept[back:]
-    return [(a, b, after - before) for a, b, before, after in kept]
+            back = link
+    return [(a, b, after - before) for a, b, before, after, _ in kept]
 
 
 @dataclass
