@@ -29,14 +29,14 @@ def tag_model(spark, sf, threshold=20):
     """(model, split rows): trained on the train rows."""
     rows, classes = dataset(spark, sf, threshold)
     rows = M.random_split(rows, 0.3)
-    train = M.augment_crop(rows.where(F.col("split") == "train"), "description", level=1, crop_ratio=0.2)
-    return N.train_tag_model(train, classes, "description"), rows
+    train = M.augment_crop(rows.where(F.col("split") == "train"), "fulltext", level=1, crop_ratio=0.2)
+    return N.train_tag_model(train, classes, ngrams=(1, 2), penalty="l1"), rows
 
 
 @query("train_tag_model")
 def train_tag_model(spark, sf):
     model, rows = tag_model(spark, sf)
-    return model.transform(rows).select(
+    return model.transform(rows.select("doc_id", "split", "labels", "fulltext")).select(
         "doc_id", "split", joined("labels").alias("labels"), joined("predicted").alias("predicted")
     )
 
@@ -49,9 +49,9 @@ def train_embedding_model(spark, sf):
     path = scratch_path(spark, "embedding-model")
     model = N.run_pipeline(
         lambda: points.where(F.col("split") == "train"), None,
-        lambda rows: N.train_embedding_model(rows, classes, kind="logistic"), path,
+        lambda rows: N.train_embedding_model(rows, classes), path,
     )
-    scored = model.transform(N.with_vector(points))
+    scored = model.transform(points)
     return scored.select("vec_id", "split", joined("labels").alias("labels"), joined("predicted").alias("predicted"))
 
 
@@ -67,33 +67,33 @@ def predict_tags_batch(spark, sf):
 @query("tag_grid_search")
 def tag_grid_search(spark, sf):
     rows, classes = dataset(spark, sf, 30)
-    grid = {"ngrams": [(1, 2)], "max_df": [1.0, 0.8], "penalty": ["l1", "l2"], "c": [10.0]}
-    return N.tag_grid_search(rows, classes, grid, folds=2, text="description")
+    return N.tag_grid_search(rows, classes)
+
+
+def language_rows(spark, sf):
+    """Language rows of whole texts."""
+    codes = {r["lang"]: i for i, r in enumerate(T.table(spark, sf, "documents").groupBy("lang").count().orderBy("lang").collect())}
+    return P.language_dataset(T.infos(spark, sf).withColumn("description", F.col("fulltext")), codes)[0]
 
 
 @query("train_language_model")
 def train_language_model(spark, sf):
-    codes = {r["lang"]: i for i, r in enumerate(T.table(spark, sf, "documents").groupBy("lang").count().orderBy("lang").collect())}
-    rows, _ = P.language_dataset(T.infos(spark, sf), codes)
-    rows = M.random_split(rows, 0.5)
+    rows = M.random_split(language_rows(spark, sf), 0.5)
     model, languages = N.train_language_model(rows.where(F.col("split") == "train"))
     return N.apply_language_model(rows, model, languages).select("doc_id", "split", F.col("target_names").alias("lang"), "predicted")
 
 
 @query("language_grid_search")
 def language_grid_search(spark, sf):
-    codes = {r["lang"]: i for i, r in enumerate(T.table(spark, sf, "documents").groupBy("lang").count().orderBy("lang").collect())}
-    rows, _ = P.language_dataset(T.infos(spark, sf), codes)
-    grid = {"ngrams": [(1, 2)], "analyzer": ["char", "word"], "use_idf": [True]}
-    return N.language_grid_search(rows, grid, folds=2)
+    return N.language_grid_search(language_rows(spark, sf))
 
 
 @query("label_scorer")
 def label_scorer(spark, sf):
-    rows, classes = dataset(spark, sf)
+    rows, classes = dataset(spark, sf, 30)
     rows = M.head_tail_split(rows, 0.3)
-    scorer = N.train_label_scorer(rows.where(F.col("split") == "train"), classes, text="description")
-    scores = N.label_scores(rows, scorer, classes)
+    scorer = N.train_label_scorer(rows.where(F.col("split") == "train"), classes)
+    scores = N.label_scores(rows, scorer, 5)
     return L.threshold_labels(scores, 5, 0.2).select("doc_id", "label", F.round("proba", 4).alias("proba"), "rank")
 
 

@@ -24,7 +24,7 @@ from ..operators import filters as P
 from ..operators import language as G
 from ..operators import matching as J
 from ..operators import mining as K
-from ..operators.models import LabelModel
+from ..operators.models import LabelModel, predict_tags_batch
 from ..plans.layout import spread
 from ..plans.lookups import settle
 from ..sources import pages as Pages
@@ -39,7 +39,6 @@ class Resources:
     language: G.LanguageModel | None = None
     dictionary: J.Dictionary | None = None
     model: LabelModel | None = None
-    model_text: str = "description"
     pages: DataFrame | None = None
 
 
@@ -83,9 +82,7 @@ def checked_requests(requests: DataFrame, by_url: bool, pages: DataFrame | None,
 def _tagged(rows: DataFrame, r: Resources, only_model: bool) -> DataFrame:
     none = F.array().cast("array<string>")
     if r.model:
-        judged = rows.withColumn("_own", F.col(r.model_text)).withColumn(r.model_text, F.col("text"))
-        rows = r.model.transform(judged).withColumn(r.model_text, F.col("_own")).drop("_own")
-        rows = rows.withColumnRenamed("predicted", "tags")
+        rows = r.model.apply(rows, X.clean_text(F.col("text"))).withColumnRenamed("predicted", "tags")
     else:
         rows = rows.withColumn("tags", none)
     if not only_model and r.dictionary:
@@ -196,6 +193,6 @@ def feed_scoring(stream: DataFrame, model: LabelModel, out: str, checkpoint: str
 
     def answer(batch: DataFrame) -> DataFrame:
         rows = Pages.enrich_fulltext(batch, pages) if pages is not None else batch
-        return model.transform(P.filter_min_length(rows)).select("doc_id", "predicted")
+        return predict_tags_batch(rows, model)
 
     return run_available(stream, answer, out, checkpoint)
