@@ -104,8 +104,8 @@ def test_phrase_and_entities(spark, monkeypatch):
     docs = spark.createDataFrame(
         [(1, "About Machine Learning, and machine learning."), (2, "Go go"), (3, "")], "doc_id bigint, text string"
     )
-    for bound in (5_000, 0):
-        monkeypatch.setattr(lookups, "LITERAL_BOUND", bound)
+    for chars in (2_000_000, 20):  # one shard, several
+        monkeypatch.setattr(J, "SHARD_CHARS", chars)
         dictionary = J.prepare_dictionary(tags)
         found = {(r["doc_id"], r["tagID"]): r["n"] for r in J.phrase_match(docs, dictionary, F.col("text")).collect()}
         assert found == {(1, "machine-learning"): 2, (2, "golang"): 2}
@@ -133,11 +133,27 @@ def test_substring_match_brute_force(spark, monkeypatch):
         return {(r["doc_id"], r["tagID"]) for r in J.substring_match(docs, tag_list, tag_map, "text").collect()}
 
     assert run() == want
-    monkeypatch.setattr(lookups, "LITERAL_BOUND", 0)
+    monkeypatch.setattr(J, "SHARD_CHARS", 8)
     monkeypatch.setattr(lookups, "BROADCAST_ROWS", 0)
     assert run() == want
 
 
+def test_search_finds_every_occurrence(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab😀 ", k=rng.randrange(30))) for _ in range(60)] + [None, ""]
+    entries = {"".join(rng.choices("ab😀 ", k=rng.randrange(1, 5))) for _ in range(40)}
+    docs = spark.createDataFrame([(str(k), t, 1) for k, t in enumerate(texts)], "id string, text string, n int").repartition(3)
+    words = spark.createDataFrame([(e,) for e in entries] * 2 + [("",), (None,)], "entry string")
+    want = {(str(k), e): n for k, t in enumerate(texts) for e in entries if (n := sum((t or "").startswith(e, i) for i in range(len(t or ""))))}
+    for chars in (1_000_000, 11):
+        monkeypatch.setattr(J, "SHARD_CHARS", chars)
+        found = J.search(docs, "id", F.col("text"), words).collect()
+        assert {(r["id"], r["entry"]): r["n"] for r in found} == want and len(found) == len(want)
+    assert J.search(docs, "id", F.col("text"), words.where("false")).collect() == []
+    whole = J.search(docs, "id", F.col("text"), words, edge="a").collect()
+    assert all(f"a{r['entry']}a" in f"a{texts[int(r['id'])]}a" for r in whole)
+
+
 def test_topn_and_threshold_bounds(spark):
     rows = [(d, f"l{i}", i / 10) for d in range(3) for i in range(8)]
     df = spark.createDataFrame(rows, "doc_id bigint, label string, proba double")

@@ -77,10 +77,10 @@ def substring_match(spark, sf):
 _VOCAB_SQL = f"""
 word_rank AS (
   SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS r
-  FROM (SELECT unnest({S.words('text')}) AS term FROM documents) GROUP BY term),
+  FROM (SELECT unnest({S.words('text')}) AS term FROM documents) GROUP BY term HAVING count(*) >= 3),
 vocab AS (
   SELECT range AS position, '[unused' || range || ']' AS term FROM range(100)
-  UNION ALL SELECT 99 + r, term FROM word_rank WHERE r <= 500)"""
+  UNION ALL SELECT 99 + r, term FROM word_rank)"""
 
 _TERMS_SQL = """
 label_terms AS (

@@ -72,16 +72,14 @@ posts AS (
 
 TAG_LIST = """
 tag_list AS (
-  SELECT tag AS tagID, upper(tag) AS label
-  FROM (SELECT unnest(tag_ids) AS tag FROM infos)
-  GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 200
+  SELECT DISTINCT tag AS tagID, upper(tag) AS label FROM (SELECT unnest(tag_ids) AS tag FROM infos)
 )"""
 
 TAG_MAP = f"""
 doc_words AS (SELECT doc_id, {words('text')} AS w FROM documents),
 phrases AS (
   SELECT phrase FROM (SELECT unnest({ngrams('w', 2)}) AS phrase FROM doc_words)
-  GROUP BY phrase ORDER BY count(*) DESC, phrase LIMIT 50
+  GROUP BY phrase HAVING count(*) >= 20
 ),
 tag_map AS (
   SELECT label, tagID FROM tag_list

@@ -6,7 +6,7 @@ into the record types of the library (records, posts, dimensions, requests).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -15,6 +15,9 @@ from ..plans.layout import spread
 from ..plans.lookups import lookup_join, settle
 from ..plans.ordering import hash32, with_ordinal
 
+PHRASE_TIMES = 20  # counts from which a phrase or word is an entry, at every size
+WORD_TIMES = 3
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -81,29 +84,16 @@ def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "pages").select("page_id", "url", F.md5("url").alias("url_md5"), "html")
 
 
-def tag_list(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
-    """The most frequent tags as a dimension (tagID, label)."""
-    tags = each(infos(spark, sf_dir), F.col("tags"), "t").select("t.tagID", "t.label")
-    return (
-        tags.groupBy("tagID", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "tagID")
-        .limit(n)
-        .select("tagID", "label")
-    )
+def tag_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tags as a dimension (tagID, label)."""
+    return each(infos(spark, sf_dir), F.col("tags"), "t").select("t.tagID", "t.label").distinct()
 
 
-def frequent_phrases(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
-    """The most frequent two-word phrases."""
+def frequent_phrases(spark: SparkSession, sf_dir: str, times: int = PHRASE_TIMES) -> DataFrame:
+    """Two-word phrases found at least ``times`` times."""
     grams = X.token_ngrams(X.words(F.col("text")), 2, 2)
-    return (
-        each(texts(spark, sf_dir, "documents"), grams, "phrase")
-        .groupBy("phrase")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "phrase")
-        .limit(n)
-        .select("phrase")
-    )
+    counted = each(texts(spark, sf_dir, "documents"), grams, "phrase").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= times).select("phrase")
 
 
 def tag_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,23 +104,15 @@ def tag_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_list(spark, sf_dir).select("label", "tagID").unionByName(phrases)
 
 
-def word_vocabulary(spark: SparkSession, sf_dir: str, slots: int = 100, n: int = 500) -> DataFrame:
-    """A vocabulary (position, term): free slots, then the most frequent words."""
-    counted = (
-        each(texts(spark, sf_dir, "documents"), X.words(F.col("text")), "term")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "term")
-        .limit(n)
-    )
-    ranked = counted.select(
-        (F.row_number().over(Window.orderBy(F.desc("n"), "term")) + (slots - 1)).cast("bigint").alias("position"),
-        "term",
-    )
+def word_vocabulary(spark: SparkSession, sf_dir: str, slots: int = 100, times: int = WORD_TIMES) -> DataFrame:
+    """A vocabulary (position, term): free slots, then all words found at least ``times``
+    times, the most frequent first."""
+    counted = each(texts(spark, sf_dir, "documents"), X.words(F.col("text")), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    ranked = with_ordinal(counted.where(F.col("n") >= times), F.desc("n"), F.col("term"), name="position")
     free = spark.range(slots).select(
         F.col("id").alias("position"), F.concat(F.lit("[unused"), F.col("id").cast("string"), F.lit("]")).alias("term")
     )
-    return free.unionByName(ranked)
+    return free.unionByName(ranked.select((F.col("position") + slots).alias("position"), "term"))
 
 
 EDGE_REQUESTS = (
