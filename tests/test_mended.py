@@ -28,6 +28,18 @@ def test_string_keys(spark, monkeypatch):
     assert cut[1] == "key-00499"
 
 
+def test_ranks_of_string_keys_with_one_prefix(spark, monkeypatch):
+    keys = [f"https://host.example/{k:05}" for k in range(2000)] + ["same"] * 50 + ["a", "a\0", "a\0\0", "", "é" * 9, "é" * 8]
+    rows = spark.createDataFrame([(k,) for k in keys], "doc_id string").repartition(3)
+    monkeypatch.setattr(O, "DIRECT_ROWS", 3)
+    monkeypatch.setattr(type(rows), "toLocalIterator", None)  # no key is walked through the driver
+    order = sorted(keys, key=lambda k: k.encode())
+    for k in (1, 2, 3, 4, 5, 700, 1999, 2004, 2006, 2030, 2054, len(keys) - 1, len(keys)):
+        assert O.order_cut(rows, O.order_value(rows, "doc_id"), F.col("doc_id"), k)[1] == order[k - 1], k
+        assert O.order_cut(rows, F.lit(7), F.col("doc_id"), k)[1] == order[k - 1]
+    assert O.order_cut(rows, F.lit(7), F.col("doc_id"), len(keys) + 1) is None
+
+
 def test_repeated_request_keys(spark, sf_dir):
     train = spark.createDataFrame(
         [(k, text, lang) for k, (text, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 4)],
@@ -66,6 +78,23 @@ def test_report_without_positives(spark):
     assert report["weighted avg"]["f1"] == 0.0 and report["a"]["support"] == 0
 
 
+def test_report_reads_its_rows_once(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 1, 1), (1, "b", 0, 1), (2, "a", 1, 0), (2, "macro avg", 1, 1), (3, None, 1, 1)], "doc_id bigint, label string, y int, p int"
+    )
+    path = scratch_path(spark, "rows")
+    rows.write.parquet(path)
+    report = A.label_report(spark.read.parquet(path))
+    assert report._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    found = sorted(((r["label"], round(r["precision"], 4), round(r["recall"], 4), round(r["f1"], 4), r["support"]) for r in report.collect()), key=str)
+    assert found == sorted([
+        ("a", 1.0, 0.5, 0.6667, 2), ("b", 0.0, 0.0, 0.0, 0), ("macro avg", 1.0, 1.0, 1.0, 1), (None, 1.0, 1.0, 1.0, 1),
+        ("micro avg", 0.75, 0.75, 0.75, 4), ("macro avg", 0.75, 0.625, 0.6667, 4), ("weighted avg", 1.0, 0.75, 0.8333, 4),
+        ("samples avg", 0.8333, 0.8333, 0.7778, 4),
+    ], key=str)
+    assert A.label_report(rows.where("false")).collect() == []
+
+
 def test_wide_targets_equal_narrow_ones(spark, monkeypatch):
     rows = spark.createDataFrame([(1, ["b", "a"]), (2, []), (3, ["c"])], "doc_id bigint, labels array<string>")
     narrow, names = D.with_targets(rows)

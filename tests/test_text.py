@@ -1,5 +1,8 @@
 """Text expressions against plain Python on awkward strings."""
 
+import html
+import html.entities
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -109,3 +112,123 @@ def test_page_title_and_article(spark):
 
 def test_post_body_text(spark):
     assert column(spark, ["<p>a</p>\n<p>b</p>"], H.post_body_text) == ["a b"]
+
+
+RAW = ("script", "style")
+
+
+def plain_tokens(page):
+    """('text', t), ('open', name) and ('close', name), sign by sign."""
+    out, text, i, n = [], "", 0, len(page)
+    low = page.lower()
+
+    def tag_end(i):
+        """Behind the tag whose name ended at ``i``: a quote counts behind an equals sign only."""
+        while i < n and page[i] != ">":
+            if page[i] == "=":
+                i += 1
+                while i < n and page[i].isspace():
+                    i += 1
+                if i < n and page[i] in "\"'":
+                    end = page.find(page[i], i + 1)
+                    i = n if end < 0 else end + 1
+            else:
+                i += 1
+        return min(n, i + 1)
+
+    def mark(kind, name):
+        nonlocal text
+        if text:
+            out.append(("text", text))
+        text = ""
+        out.append((kind, name))
+
+    while i < n:
+        if low.startswith("<!--", i):
+            if page.startswith(">", i + 4) or page.startswith("->", i + 4):
+                i = page.index(">", i + 4) + 1
+            else:
+                ends = [(at, len(e)) for e in ("-->", "--!>") if (at := page.find(e, i + 4)) >= 0]
+                i = n if not ends else sum(min(ends))
+            mark("other", "")
+        elif page[i] == "<" and i + 1 < n and page[i + 1] in "!?" or low.startswith("</", i) and not (i + 2 < n and "a" <= low[i + 2] <= "z"):
+            end = page.find(">", i)
+            i = n if end < 0 else end + 1
+            mark("other", "")
+        elif page[i] == "<" and i + 1 < n and (page[i + 1] == "/" or "a" <= low[i + 1] <= "z"):
+            close = page[i + 1] == "/"
+            at = i + 1 + close
+            end = at
+            while end < n and not (page[end].isspace() or page[end] in "/>"):
+                end += 1
+            name = low[at:end]
+            i = tag_end(end)
+            if not close and name in RAW and end < n:
+                while i < n and not (low.startswith(f"</{name}", i) and i + 2 + len(name) < n and (page[i + 2 + len(name)].isspace() or page[i + 2 + len(name)] in "/>")):
+                    i += 1
+                end = page.find(">", i)
+                i = n if end < 0 else end + 1
+                mark("other", "")
+            else:
+                mark("close" if close else "open", name)
+        else:
+            text += page[i]
+            i += 1
+    return [*out, ("text", text)] if text else out
+
+
+def plain_body_text(page):
+    tokens = plain_tokens(page)
+
+    def inside(tokens, name):
+        at = tokens.index(("open", name))
+        rest = tokens[at + 1 :]
+        return rest[: rest.index(("close", name))] if ("close", name) in rest else rest
+
+    def without(tokens, name):
+        if ("open", name) in tokens:
+            at = tokens.index(("open", name))
+            if ("close", name) in tokens[at:]:
+                return tokens[:at] + [("other", "")] + tokens[tokens.index(("close", name), at) + 1 :]
+        return tokens
+
+    if ("open", "body") in tokens:
+        tokens = without(without(inside(tokens, "body"), "header"), "h1")
+    pieces, run = [], ""
+    for kind, value in [*tokens, ("end", "")]:
+        if kind == "text":
+            run += value
+        elif run.strip():
+            pieces.append(run.strip())
+            run = ""
+        else:
+            run = ""
+    return html.unescape(" ".join(pieces)).strip()
+
+
+PAGES = [
+    '<a title="x > y">z</a> &eacute; 1 < 2 and 3 > 2',
+    "<a title='1 > 0' href = \"a>b\">q</a><p don't>it's</p>",
+    "<body><p>never closed <b>bold",
+    "<body>a<!-- <p>no</p> -->b<!-->c<!--x--!>d<!-- open",
+    "<script>if (a < b) { '</p>' }</script>after<style>p > q {}",
+    "<SCRIPT src='x>y'>a</script >b<scripts>c</scripts>",
+    '<body><header class="a>b">h</header><header-x>k</header-x><h1>t</h1><p>u</p></body>tail',
+    "&copy 2020 &notit; &notin; &amp;lt; &#38;lt; &#x41 &#150; &bogus; & &; &#; AT&T &ThickSpace;x",
+    '<p title="no end>text<p>more', "<?xml v?><!DOCTYPE html></ bogus>x</>y<3", "<", "<a", "</", "a<b", "",
+    "<a " + "b='>' " * 5000 + ">many</a>", "<" * 3000, "<p>" * 3000 + "x" + "&lt;" * 3000,
+]
+
+
+def test_tokenizer_against_a_plain_one(spark):
+    rng = random.Random(9)
+    parts = ["<p>", "</p>", "<a title='>'>", '<a b="', "<!--", "-->", "<script>", "</script>", "<body>", "</body>", "<h1>", "</h1>", "<header x=y>", "</header>", "'", '"', ">", "<", " ", "w", "&lt;", "&Auml;", "&copy", "&#x4E2D;", "é", "="]
+    pages = PAGES + ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(1500)]
+    for page, found in zip(pages, column(spark, pages, H.html_to_text)):
+        assert found == plain_body_text(page), page[:200]
+
+
+def test_all_named_references(spark):
+    names = sorted(html.entities.html5)
+    texts = [f"a&{name}" for name in names] + [f"a&{name} z" for name in names] + [f"&#{k};" for k in (9, 65, 0x80, 0x9F, 0x1F600, 0xD800, 0x110000, 10**20)]
+    assert column(spark, texts, H.decode_entities) == [html.unescape(t) for t in texts]

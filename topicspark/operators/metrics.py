@@ -36,32 +36,30 @@ def _measures(df: DataFrame) -> DataFrame:
 
 def label_report(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per-label precision, recall, F1 and support, then the micro, macro, weighted
-    and per-sample averages. ``rows`` has (key, label, y, p) with 0/1 values."""
-    out = ["label", "precision", "recall", "f1", "support"]
-    per_label = _measures(rows.groupBy("label").agg(*_counts()))
-    total = F.sum("support")
-    micro = _measures(per_label.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")))
-    macro = per_label.agg(
-        *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], total.alias("support")
-    )
-    weighted = per_label.agg(
-        *[_ratio(F.sum(F.col(c) * F.col("support")), total).alias(c) for c in ("precision", "recall", "f1")],
-        total.alias("support"),
+    and per-sample averages. ``rows`` has (key, label, y, p) with 0/1 values.
+
+    The rows are read once: grouping sets count by label, by record and in all, and each count
+    goes to the lines it is averaged into. No rows, no report."""
+    counted = rows.groupingSets([["label"], [key], []], "label", key).agg(*_counts(), F.grouping_id().alias("by"))
+    measured = _measures(counted)
+
+    def line(name: Column, weight: Column) -> Column:
+        return F.struct(name.alias("label"), weight.cast("double").alias("weight"))
+
+    one = F.lit(1)
+    by_label = F.array(
+        F.struct(F.lit(0).alias("own"), line(F.col("label"), one).alias("l")),
+        F.struct(F.lit(1).alias("own"), line(F.lit("macro avg"), one).alias("l")),
+        F.struct(F.lit(1).alias("own"), line(F.lit("weighted avg"), F.col("support")).alias("l")),
     )
-    samples = _measures(rows.groupBy(key).agg(*_counts())).agg(
-        *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], total.alias("support")
+    by_record, whole = (
+        F.array(F.struct(F.lit(1).alias("own"), line(F.lit(name), one).alias("l"))) for name in ("samples avg", "micro avg")
     )
-    parts = [
-        per_label.select(*out),
-        micro.withColumn("label", F.lit("micro avg")).select(*out),
-        macro.withColumn("label", F.lit("macro avg")).select(*out),
-        weighted.withColumn("label", F.lit("weighted avg")).select(*out),
-        samples.withColumn("label", F.lit("samples avg")).select(*out),
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    lines = F.when(F.col("by") == 1, by_label).when(F.col("by") == 2, by_record).otherwise(whole)
+    weighed = measured.select("precision", "recall", "f1", "support", F.inline(lines)).select("*", "l.label", "l.weight")
+    total = F.sum("weight")
+    means = [_ratio(F.sum(F.col(c) * F.col("weight")), total).alias(c) for c in ("precision", "recall", "f1")]
+    return weighed.groupBy("own", "label").agg(*means, F.sum("support").alias("support")).drop("own")
 
 
 def confusion_matrix(rows: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:

@@ -16,6 +16,7 @@ from .lookups import settle
 
 CELLS = 4096
 DIRECT_ROWS = 10_000
+STEP = 6  # bytes of a string key that are ordered at a time
 HASH_SPAN = 1 << 32
 
 
@@ -34,20 +35,12 @@ def order_value(df: DataFrame, key: str) -> Column:
     return F.conv(head, 16, 10).cast("bigint")
 
 
-def order_cut(
-    df: DataFrame, value: Column, key: Column, k: int, span: tuple[int, int] | None = None
-) -> tuple | None:
-    """The k-th smallest (value, key) pair of ``df``, 1-based; None for ``k < 1``.
+def _at_rank(pairs: DataFrame, k: int, span: tuple[int, int] | None = None) -> tuple | None:
+    """The row of rank ``k`` (1-based) in the order of ``v`` and ``t``, as (v, t, None); or, if many
+    rows share its ``v``, (v, None, (these rows, the rank among them)); None beyond the last row.
 
-    ``value`` is a bigint column, ``span`` its range if known; ``key`` is of any type
-    that can be sorted. Every pass splits the range that holds the wanted rank into
-    ``CELLS`` equal ranges and counts them; once the range holds few rows these alone
-    are sorted. Many rows of one value are told apart by their keys: whole numbers by
-    counting ranges again, other keys by walking through their sorted counts.
-    """
-    if k < 1:
-        return None
-    pairs = df.select(value.cast("bigint").alias("v"), key.alias("t"))
+    Every pass splits the range that holds the wanted rank into ``CELLS`` equal ranges and
+    counts them; once the range holds few rows these alone are sorted."""
     low, high = span or pairs.agg(F.min("v"), F.max("v")).first()
     if low is None:
         return None
@@ -68,14 +61,51 @@ def order_cut(
         inside = pairs.where(F.col("v").between(low, high))
         if n <= DIRECT_ROWS:
             row = inside.orderBy("v", "t").limit(k).collect()[-1]
-            return row["v"], row["t"]
+            return row["v"], row["t"], None
         if low == high:
-            if isinstance(pairs.schema["t"].dataType, T.IntegralType):
-                return low, order_cut(inside, F.col("t"), F.col("t"), k)[0]
-            for row in inside.groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy("t").toLocalIterator():
-                k -= row["n"]
-                if k <= 0:
-                    return low, row["t"]
+            return low, None, (inside, k)
+
+
+def _string_at(rows: DataFrame, k: int) -> str:
+    """The string of rank ``k`` among the ``t`` of ``rows``: ranges of ``STEP`` bytes and their
+    number are counted, and where many agree the next bytes decide."""
+    offset = 0
+    while True:
+        piece = F.substring(F.encode(F.col("t"), "UTF-8"), offset + 1, STEP)
+        value = F.conv(F.rpad(F.hex(piece), 2 * STEP, "0"), 16, 10).cast("bigint") * (STEP + 2) + F.length(piece)
+        at, key, alike = _at_rank(rows.select(value.alias("v"), "t"), k)
+        if alike is None:
+            return key
+        rows, k = alike
+        if at % (STEP + 2) < STEP:  # all end here, so all are one string
+            return rows.first()["t"]
+        rows, offset = settle(rows.select("t")), offset + STEP
+
+
+def order_cut(
+    df: DataFrame, value: Column, key: Column, k: int, span: tuple[int, int] | None = None
+) -> tuple | None:
+    """The k-th smallest (value, key) pair of ``df``, 1-based; None for ``k < 1``.
+
+    ``value`` is a bigint column, ``span`` its range if known; ``key`` is of any type
+    that can be sorted. Many rows of one value are told apart by their keys: whole numbers and
+    strings by counting ranges again, other keys by walking through their sorted counts.
+    """
+    if k < 1:
+        return None
+    found = _at_rank(df.select(value.cast("bigint").alias("v"), key.alias("t")), k, span)
+    if found is None or found[2] is None:
+        return found and found[:2]
+    at, _, (inside, k) = found
+    kind = inside.schema["t"].dataType
+    if isinstance(kind, T.IntegralType):
+        return at, order_cut(inside, F.col("t"), F.col("t"), k)[0]
+    if isinstance(kind, T.StringType):
+        return at, _string_at(inside, k)
+    for row in inside.groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy("t").toLocalIterator():
+        k -= row["n"]
+        if k <= 0:
+            return at, row["t"]
 
 
 def up_to_cut(value: Column, key: Column, cut: tuple | None) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .. import fixed_values as V
-from ..functions import html as H
+
+# the references that the given pages hold, and the markup ones ('&amp;' last)
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 URL = V.URL_PATTERN[: -len(r"\s")] + SPACE
@@ -138,7 +140,7 @@ def drop_first(x: str, element: str) -> str:
 
 
 def entities(x: str) -> str:
-    for name, plain in H.ENTITIES:
+    for name, plain in _ENTITIES:
         plain = plain.replace("'", "''")
         x = f"replace({x}, '{name}', '{plain}')"
     return x
