@@ -58,7 +58,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.word_ends:
             cut = [text.replace("\n", " ").split(" ") for text in texts]
-            return self._ids(cut)
+            return [b"".join(ids) for ids in self._ids(cut)]
         if not self.byte_level:
             return self.whole(texts)
         found: list[bytes | None] = [None] * len(texts)
@@ -72,26 +72,29 @@ class Encoder:
             cut.append(pieces)
             even.append(k)
         for k, ids in zip(even, self._ids(cut)):
-            found[k] = ids
+            found[k] = b"".join(ids)
         for k, each in zip(odd, self.whole([texts[k] for k in odd])):
             found[k] = each
         return found
 
-    def _ids(self, cut: list[list[str]]) -> list[bytes]:
-        """The ids of every text's pieces; pieces not met before are learned together."""
-        kept = self.kept
-        if len(kept) > PIECES_KEPT:
-            kept.clear()
-        new = set().union(*cut).difference(kept)
-        if new:
-            lined = [piece for piece in new if piece[:1] == "\n"]
-            new.difference_update(lined)
-            new.update(word for piece in lined if (word := _MARK + piece[1:]) not in kept)
-            self._learn(new)
-            for piece in lined:
-                kept[piece] = self.line + kept[_MARK + piece[1:]]
-        get = kept.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+    def _ids(self, cut: list[list[str]]) -> list[list[bytes]]:
+        """The ids of every piece; pieces not met before are learned together."""
+        if len(self.kept) > PIECES_KEPT:
+            self.kept.clear()
+        get = self.kept.get
+        found = [list(map(get, pieces)) for pieces in cut]
+        gaps = [k for k, ids in enumerate(found) if None in ids]
+        if gaps:
+            holes = [(k, [j for j, ids in enumerate(found[k]) if ids is None]) for k in gaps]
+            new = {cut[k][j] for k, at in holes for j in at}
+            lined = {piece: _MARK + piece[1:] for piece in new if piece[:1] == "\n"}
+            self._learn(new.difference(lined).union(piece for piece in lined.values() if piece not in self.kept))
+            self.kept.update((piece, self.line + self.kept[word]) for piece, word in lined.items())
+            for k, at in holes:
+                ids, pieces = found[k], cut[k]
+                for j in at:
+                    ids[j] = self.kept[pieces[j]]
+        return found
 
     def _learn(self, new: set[str]) -> None:
         kept, tokenize, rest = self.kept, self.model.tokenize, []
