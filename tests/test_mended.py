@@ -12,6 +12,7 @@ from topicspark.plans import ordering as O
 from topicspark.session import scratch_path
 from topicspark.sources import stores
 from topicspark.sources import tables as T
+from topicspark.sources import pages as Pages
 from topicspark.streaming import detection as R
 
 
@@ -127,3 +128,67 @@ def test_labels_come_from_the_whole_text(spark):
     text = "alpha " + "filler" + " x" * 400 + " omega omega alpha"
     rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     assert rows.select(T.repeated_words(F.col("text")).alias("w")).first()["w"] == ["alpha", "omega"]
+
+
+REQUEST = "doc_id bigint, url string, title string, description string, fulltext string"
+
+
+def test_page_store_opens_only_what_is_asked(spark):
+    html = [(k, f"http://h/{k % 90}", f"<h1>t{k}</h1><p>{'words of page ' * 12}{k}.</p>") for k in range(100)]
+    pages = spark.createDataFrame(html, "page_id bigint, url string, html string").withColumn("url_md5", F.md5("url"))
+    path = scratch_path(spark, "pages")
+    Pages.write_page_store(pages, path, 16)
+    store = Pages.PageStore.open(spark, path, 16)
+    assert store.pages.count() == 90
+    asked = spark.createDataFrame([(1, "http://h/7"), (2, "http://h/7"), (3, "http://none"), (4, None)], "doc_id bigint, url string")
+    found = store.asked(asked.where("url is not null").select(F.md5("url").alias("url_md5")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket") or "bucket#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert "In(url_md5" in plan.split("PushedFilters")[1] or "EqualTo(url_md5" in plan.split("PushedFilters")[1]
+    assert len(found.inputFiles()) <= 16
+    for source in (pages, store):
+        got = {r["doc_id"]: r["html"] for r in Pages.page_lookup(asked, source).collect()}
+        assert got == {1: html[7][2], 2: html[7][2], 3: "", 4: ""}
+        records = asked.withColumn("description", F.lit("d"))
+        full = {r["doc_id"]: r["fulltext"] for r in Pages.enrich_fulltext(records, source).collect()}
+        assert full[1].endswith("7.") and full[3] == full[4] == "d"
+
+
+def test_repeated_keys_by_url(spark):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", f"<body><h1>title {k}</h1><p>Text number {k} is here.</p>") for k in (1, 2)], "page_id bigint, url string, html string")
+    asked = spark.createDataFrame([(5, "http://h/1", None, None, None), (5, "http://h/2", None, None, None)], REQUEST)
+    found = R.resolve(asked, pages.withColumn("url_md5", F.md5("url"))).collect()
+    assert sorted((r["doc_id"], r["title"], r["description"]) for r in found) == [
+        (5, "title 1", "Text number 1 is here."), (5, "title 2", "Text number 2 is here."),
+    ]
+
+
+class _Marker:
+    """A model that answers with the first words of what it is given."""
+
+    def apply(self, df, text):
+        return df.withColumn("predicted", F.array(F.substring(text, 1, 12)))
+
+
+def test_feed_scores_a_record_once(spark, tmp_path):
+    source, out, state = str(tmp_path / "in"), scratch_path(spark, "scored"), scratch_path(spark, "state")
+    schema = "doc_id bigint, url string, title string, description string, fulltext string"
+    long = "some text of a record " * 20
+
+    def send(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        return sorted((r["doc_id"], r["predicted"][0]) for r in R.feed_scoring(stream, _Marker(), out, state).collect())
+
+    first = send([(1, None, "a", long, long), (2, None, "b", long, long), (3, None, "c", "short", "short")])
+    assert first == [(1, "a. some text"), (2, "b. some text")]
+    again = send([(1, None, "a", long, long), (2, None, "changed", long, long)])  # a new query on the same state: a restart
+    assert again == [(1, "a. some text"), (2, "b. some text"), (2, "changed. som")]
+
+
+def test_full_detection_has_model_and_dictionary_tags(spark, sf_dir):
+    from topicspark.registry import streams
+
+    found = streams.QUERIES["stream_detect_model"](spark, sf_dir).collect()
+    assert len(found) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert all((r["tags"] is None) == (not r["valid"]) for r in found) and any(r["tags"] for r in found)

@@ -18,13 +18,26 @@ def input_bytes(df: DataFrame) -> int:
     return sum(size for size in sizes if size < _UNKNOWN)
 
 
+def _planned_partitions(df: DataFrame) -> int:
+    """Partitions for the tables below ``df``. A stored intermediate result counts as many as it
+    was written in: its size is an estimate of the plan that made it, in which joins multiply."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    wanted = 0
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            wanted += leaf.rdd().getNumPartitions()
+        elif (size := int(str(leaf.stats().sizeInBytes()))) < _UNKNOWN:
+            wanted += math.ceil(size / PARTITION_BYTES)
+    return wanted
+
+
 def by_record(df: DataFrame, key: str) -> DataFrame:
     """Partition by record for work that stays within a record.
 
     The number of partitions is fixed from the size of the input: such work
     expands a record many times, so shuffled bytes alone would ask for too few.
     """
-    wanted = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(input_bytes(df) / PARTITION_BYTES))
+    wanted = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _planned_partitions(df))
     return df.repartition(min(wanted, MAX_PARTITIONS), key)
 
 

@@ -24,8 +24,8 @@ from ..operators import filters as P
 from ..operators import language as G
 from ..operators import matching as J
 from ..operators import mining as K
-from ..operators.models import LabelModel, predict_tags_batch
-from ..plans.layout import spread
+from ..operators.models import LabelModel, dataset_text
+from ..plans.layout import by_record, spread
 from ..plans.lookups import settle
 from ..sources import pages as Pages
 from ..sources import stores
@@ -39,16 +39,16 @@ class Resources:
     language: G.LanguageModel | None = None
     dictionary: J.Dictionary | None = None
     model: LabelModel | None = None
-    pages: DataFrame | None = None
+    pages: DataFrame | Pages.PageStore | None = None
 
 
-def resolve_by_url(requests: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:
+def resolve_by_url(requests: DataFrame, pages: DataFrame | Pages.PageStore, key: str = "doc_id") -> DataFrame:
     """Replace title, description and full text by those of the page at the url.
 
     The description is a summary of the page. A request whose page is missing is
     marked as refused.
     """
-    found = Pages.page_lookup(requests.drop("title", "description", "fulltext"), pages, key)
+    found = by_record(Pages.page_lookup(requests.drop("title", "description", "fulltext"), pages, key), key)
     html = F.col("html")
     present = html != ""
     rows = found.select(
@@ -56,6 +56,7 @@ def resolve_by_url(requests: DataFrame, pages: DataFrame, key: str = "doc_id") -
         F.when(present, H.page_title(html)).alias("title"),
         F.when(present, H.html_to_text(html)).alias("fulltext"),
     )
+    rows = settle(rows)  # pages are taken apart once, for the summary and the answer
     summary = K.summarize(rows.where(F.col("valid") & F.col("fulltext").isNotNull()), "fulltext", "title", key=key)
     rows = rows.join(summary.withColumnRenamed("summary", "description"), key, "left")
     missing = F.col("valid") & F.col("fulltext").isNull()
@@ -96,7 +97,7 @@ def each_request(answer: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @functools.wraps(answer)
     def numbered(requests: DataFrame, *args, **options) -> DataFrame:
-        rows = settle(requests.withColumn("_own_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()))
+        rows = spread(settle(requests.withColumn("_own_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())))
         found = answer(rows.drop("_own_id"), *args, **options)
         named = found.join(rows.select("doc_id", "_own_id"), "doc_id").withColumn("doc_id", F.col("_own_id"))
         return named.select(*found.columns)
@@ -104,6 +105,13 @@ def each_request(answer: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return numbered
 
 
+@each_request
+def resolve(requests: DataFrame, pages: DataFrame | Pages.PageStore) -> DataFrame:
+    """(doc_id, title, fulltext, description, reason): each request checked and resolved by its url."""
+    rows = resolve_by_url(P.validate_request(requests, by_url=True), pages)
+    return rows.select("doc_id", "title", "fulltext", "description", "reason")
+
+
 @each_request
 def detect_language(requests: DataFrame, r: Resources, by_url: bool = False) -> DataFrame:
     """(doc_id, valid, reason, language) per request."""
@@ -188,11 +196,23 @@ def stream_suggestions(stream: DataFrame, out: str, checkpoint: str) -> DataFram
     return stream.sparkSession.read.parquet(out)
 
 
-def feed_scoring(stream: DataFrame, model: LabelModel, out: str, checkpoint: str, pages: DataFrame | None = None) -> DataFrame:
-    """Score newly arrived records: enrich, drop short texts, predict, write back."""
+def feed_scoring(
+    stream: DataFrame, model: LabelModel, out: str, checkpoint: str, pages: DataFrame | Pages.PageStore | None = None,
+    key: str = "doc_id", expiry: str = "7 days",
+) -> DataFrame:
+    """Score newly arrived records: enrich, drop short texts, clean, predict, write back.
+
+    What was scored is kept as keyed state below the checkpoint, by key and a digest of the record:
+    a record sent again is left out, also after a restart, until ``expiry`` has passed; one whose
+    content has changed is scored anew. Each answer carries ``version``, that digest."""
+    content = [c for c in ("url", "title", "description", "fulltext") if c in stream.columns]
+    version = F.md5(F.to_json(F.struct(*content)))
+    known = stream.withColumn("version", version).withColumn("_arrived", F.current_timestamp())
+    fresh = known.withWatermark("_arrived", expiry).dropDuplicatesWithinWatermark([key, "version"]).drop("_arrived")
 
     def answer(batch: DataFrame) -> DataFrame:
-        rows = Pages.enrich_fulltext(batch, pages) if pages is not None else batch
-        return predict_tags_batch(rows, model)
+        rows = Pages.enrich_fulltext(batch, pages, key=key) if pages is not None else batch
+        rows = P.filter_min_length(rows)
+        return model.apply(rows, dataset_text(rows)).select(key, "version", "predicted")
 
-    return run_available(stream, answer, out, checkpoint)
+    return run_available(fresh, answer, out, checkpoint)
