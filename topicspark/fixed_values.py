@@ -28,7 +28,6 @@ SEGMENT_LIMIT = 20
 TOP_TFIDF_TERMS = 300
 STACK_LABELS = 500
 DASHBOARD_TOP = 30
-RANK_TOP = 20
 MAX_DF = 0.8
 LABEL_CANDIDATES = 4
 LABEL_THRESHOLD = 0.001
@@ -46,7 +45,6 @@ TEXT_MISSING = "fulltext, description or title is missing in post data"
 URL_NOT_FETCHABLE = "URL is wrong or not fetchable"
 DEFAULT_TAG_LIST = [("python", "Python")]
 DEFAULT_TAG_MAP = [("ML", "machine-learning")]
-PUBLISHER_HOST = "www.infoq.cn"
 ARTICLE_HOST = "towardsdatascience.com"
 EMBEDDING_SHARE = 1.0
 UNUSED_SLOT = "[unused"
