@@ -39,7 +39,7 @@ def label_report(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     and per-sample averages. ``rows`` has (key, label, y, p) with 0/1 values.
 
     The rows are read once: grouping sets count by label, by record and in all, and each count
-    goes to the lines it is averaged into. No rows, no report."""
+    goes to the lines it is averaged into. Of no rows the four averages are null."""
     counted = rows.groupingSets([["label"], [key], []], "label", key).agg(*_counts(), F.grouping_id().alias("by"))
     measured = _measures(counted)
 
@@ -57,6 +57,9 @@ def label_report(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     lines = F.when(F.col("by") == 1, by_label).when(F.col("by") == 2, by_record).otherwise(whole)
     weighed = measured.select("precision", "recall", "f1", "support", F.inline(lines)).select("*", "l.label", "l.weight")
+    names = F.array(*[F.lit(f"{name} avg") for name in ("micro", "macro", "weighted", "samples")])
+    nothing = rows.sparkSession.range(1).select(F.lit(1).alias("own"), F.explode(names).alias("label"))
+    weighed = weighed.unionByName(nothing, allowMissingColumns=True)
     total = F.sum("weight")
     means = [_ratio(F.sum(F.col(c) * F.col("weight")), total).alias(c) for c in ("precision", "recall", "f1")]
     return weighed.groupBy("own", "label").agg(*means, F.sum("support").alias("support")).drop("own")
