@@ -8,6 +8,7 @@ from .. import fixed_values as V
 from ..operators import filters as P
 from ..operators import labels as L
 from ..operators import split as M
+from ..operators import stratify as Y
 from ..plans import dataset as D
 from ..session import scratch_path
 from ..sources import feeds, stores
@@ -169,6 +170,30 @@ def dataset_dump(spark, sf):
     return rows.select("doc_id", "split", joined("labels").alias("labels"), target.alias("target"), n.alias("n_classes"))
 
 
+@query(
+    "stratified_dump",
+    S.with_(S.INFOS, S.base(), S.kept(20))
+    + """ SELECT label, count(*) AS n_records, CAST(floor(0.3 * count(*) + 0.5) AS BIGINT) AS n_wanted, TRUE AS balanced
+    FROM (SELECT unnest(list_distinct(labels)) AS label FROM kept) GROUP BY label""",
+)
+def stratified_dump(spark, sf):
+    """Classes of a dump split by label quotas; balanced: test records within one and a twentieth of the quota."""
+    data = D.build_dataset(T.infos(spark, sf), language="en", filter_tags_threshold=20, concat_title=True)
+    home = scratch_path(spark, "dump")
+    stores.dataset_dump(Y.with_split(data, 0.3), L.class_names(data), home, "v1")
+    rows, _ = stores.read_dump(spark, home, "v1")
+    named = rows.select(F.explode(F.array_distinct("labels")).alias("label"), (F.col("split") == "test").cast("bigint").alias("in_test"))
+    counted = named.groupBy("label").agg(F.count(F.lit(1)).alias("n_records"), F.sum("in_test").alias("n_test"))
+    wanted = F.floor(F.col("n_records") * F.lit(0.3) + F.lit(0.5)).alias("n_wanted")
+    return counted.select("label", "n_records", wanted, (F.abs(F.col("n_test") - wanted) * 20 <= F.col("n_records") + 20).alias("balanced"))
+
+
+@query("iterative_stratified_split")
+def iterative_stratified_split(spark, sf):
+    """Every English record by the quotas of its labels, of four records or more."""
+    return Y.iterative_split(D.build_dataset(T.infos(spark, sf), language="en", filter_tags_threshold=4, concat_title=True), 0.3)
+
+
 @query(
     "fasttext_lines",
     S.with_(S.INFOS, S.base(), S.kept(4))
