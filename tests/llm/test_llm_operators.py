@@ -360,6 +360,66 @@ def test_leaks_in_blocks(spark, sf_dir, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == whole and whole
 
 
+def plain_leaks(docs, items, shortest):
+    """Every pair of document and item with a stretch that agrees enough, each laid over each."""
+    found = {}
+    for (d, text), (i, item) in itertools.product(docs, items):
+        own, want = decontaminate.words(text), decontaminate.words(item)
+        least, best = min(decontaminate.OVERLAP, len(want)), None
+        if not want or len(want) < shortest:
+            continue
+        for shift in range(least - len(want), len(own) - least + 1):
+            same = [0 <= k + shift < len(own) and own[k + shift] == w for k, w in enumerate(want)]
+            for b, e in itertools.combinations(range(len(want) + 1), 2):
+                inside = b + shift >= 0 and e + shift <= len(own)
+                if inside and e - b >= least and 5 * sum(same[b:e]) >= 4 * (e - b):
+                    best = max(best or (0,), (e - b, sum(same[b:e]), -b - shift, -b))
+        if best:
+            found[d, i] = (-best[2], -best[3], best[0], best[1])
+    return found
+
+
+@pytest.mark.parametrize("shortest", [1, 5])
+def test_leaks_against_every_alignment(spark, shortest):
+    """Blanks or none, items that share an opening, short and repeated ones, ties."""
+    rng = np.random.default_rng(4)
+    signs = [chr(0x4E00 + k) for k in range(300)]
+    thai = "การทดสอบภาษาไทยนี้ยาวพอที่จะพบ"
+    opening = " ".join(f"open{k}" for k in range(14))
+    chinese = "".join(rng.choice(signs, 40))
+    items = [(1, chinese), (2, thai), (3, "".join(signs[:4])), (4, "two words"), (5, "Only one two three four five")]
+    items += [(10 + k, f"{opening} item{k} has its own end") for k in range(8)] + [(5, "Only one two three four five"), (None, None), (20, "")]
+    docs = [
+        (1, f"前言：{chinese}。后记"),
+        (2, "before " + chinese[:9] + "，" + chinese[9:30] + " after"),
+        (3, "คำนำ " + thai),
+        (4, f"{opening} and then {opening}"),
+        (5, "here only one, TWO three four five; and two words"),
+        (6, "".join(signs[:4]) + "。"),
+        (7, "".join(rng.choice(signs, 60)) + " clean words of another kind"),
+        (8, None),
+        (9, ""),
+    ]
+    texts = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("x"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.leaks(texts, bench, shortest=shortest).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["doc_start"], r["item_start"], r["n_words"], r["n_same"]) for r in got} == plain_leaks(docs, items, shortest)
+    leaky = {r["doc_id"] for r in got}
+    assert {1, 2, 3, 4, 5} <= leaky and 7 not in leaky and (6 in leaky) == (shortest == 1) and len(got) == len({(r["doc_id"], r["item_id"]) for r in got})
+    left = decontaminate.without_leaks(texts, bench, shortest=shortest)
+    assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - leaky and left.columns == texts.columns
+
+
+def test_leaks_of_a_shared_template():
+    """Thousands of items with one opening, and texts that repeat it."""
+    opening = " ".join(f"open{k}" for k in range(14))
+    index = decontaminate.Index([(k, f"{opening} item{k} and its end") for k in range(2000)])
+    began = time.process_time()
+    found = index.search([f"a {opening} b", "nothing", f"{opening} {opening}"])
+    assert [len(f) for f in found] == [2000, 0, 2000] and {f[4] for f in found[0]} == {14}
+    assert time.process_time() - began < 20
+
+
 def test_leaks_beside_changed_words():
     """The longest stretch that agrees enough is found, whatever the words beside it."""
     for n, rest in ((40, 300), (15, 120), (20, 130)):
@@ -545,3 +605,51 @@ def test_pipeline_against_its_parts(spark, sf_dir):
             assert not any(m in rows[i] for i in rows for m in re.findall(r"\S+@mail\d\.example\.com", own[i]))
     packed = corpus_pipeline.STAGES[4][1](spark, docs, sf_dir).collect()
     assert {r["doc_id"] for r in packed} == set(rows)
+
+
+def pipeline_dir(spark, docs, bench):
+    home = scratch_path(spark, "tables")
+    docs.write.parquet(f"{home}/documents.parquet")
+    bench.write.parquet(f"{home}/benchmark.parquet")
+    return home
+
+
+CLASHING = ["n", "host", "fp", "key_a", "found", "doc_tokens", "item_id", "start", "root", "length"]
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Null id, null, empty, blank, very long and repeated texts, and clashing column names."""
+    plain = "the quick brown fox jumps over a lazy dog while {} other animals sleep under trees near water"
+    rows = [
+        (1, None), (2, ""), (3, "\n \t\n"), (None, plain.format("seven")), (4, plain.format("many")), (4, plain.format("many")),
+        (5, " ".join(f"word{k}" for k in range(30_000))),
+        (6, "write to a.b@mail1.example.com or call the office before ten tomorrow morning please and thanks"),
+        (7, "this one quotes " + " ".join(f"bench{k}" for k in range(20)) + " and goes on with words of its own"),
+        (8, "too short"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs = docs.withColumns({c: F.lit(k) for k, c in enumerate(CLASHING)}).withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.length("text"))
+    bench = spark.createDataFrame([(70, " ".join(f"bench{k}" for k in range(20))), (71, None), (None, "")], "item_id bigint, text string")
+    home = pipeline_dir(spark, docs, bench)
+    done = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        done = stage(spark, done, home)
+        assert done.columns == docs.columns, name
+    kept = {(r["doc_id"], r["text"]): r for r in done.collect()}
+    assert len(kept) == done.count() == 4 and {i for i, _ in kept} == {None, 4, 5, 6}
+    assert [t for i, t in kept if i == 5] == [rows[6][1]]
+    [(mail, row)] = [(t, r) for (i, t), r in kept.items() if i == 6]
+    assert "a.b@mail1" not in mail and "@" in mail and row["n_chars"] == len(mail) and row["fp"] == 2
+    packed = corpus_pipeline.run(spark, home).collect()
+    assert {r["doc_id"] for r in packed} == {i for i, _ in kept}
+    assert sum(r["length"] for r in packed if r["doc_id"] == 5) == {r["doc_tokens"] for r in packed if r["doc_id"] == 5}.pop() > 30_000
+
+
+def test_pipeline_of_empty_tables(spark, sf_dir):
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    full = corpus_pipeline.run(spark, pipeline_dir(spark, docs.where("false"), bench))
+    assert full.count() == 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(full.columns)
+    some = docs.where("text is not null").orderBy("doc_id").limit(20)
+    home = pipeline_dir(spark, some, bench.where("false"))
+    without = corpus_pipeline.STAGES[2][1](spark, some, home)
+    assert without.count() == 20 and without.columns == docs.columns

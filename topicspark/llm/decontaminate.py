@@ -1,6 +1,7 @@
 """Benchmark leaks by spaced seeds.
 
-Texts and benchmark items are cut into words without case and ASCII punctuation.
+Texts and benchmark items are cut into words without case and ASCII punctuation; in
+scripts that are written without blanks (``ALONE``) each sign is a word of its own.
 A seed is a fixed mask over a window of words: the words under a 1 are hashed, the
 others may differ. Hashes of the items' windows are kept sorted; a document's
 windows are looked up there by binary search, and each hit fixes an alignment of
@@ -8,20 +9,25 @@ the document with an item, which is then compared word by word. The longest stre
 which ``SAME`` of the words agree is a leak if it is at least ``OVERLAP`` words long
 (or the whole of a shorter item).
 
-Items go to the tasks in blocks of bounded size, each block over all documents, so
-a benchmark of any size is searched whole. Documents are neither shuffled nor
-joined: a block and its hashes fit a task.
+Items go to the tasks in blocks of bounded size (about 250 bytes a word), each block
+over all documents, so a benchmark of any size is searched whole. Documents are
+neither shuffled nor joined: a block and its hashes fit a task. Hits are gathered in
+bounded runs, and an alignment of a document with an item is compared once, however
+many seeds hit it. Of an item's stretches in a document the longest is given, of these
+the one that agrees most, then the first in the document, then in the item.
 
 Items shorter than the first mask have masks of four words; an item with fewer
-than ``SHORTEST`` words is too common a phrase to prove a leak and finds nothing.
-Null and empty texts have no leak; repeated rows are answered each; a null id is
-kept; an empty table on either side gives no row. Other columns are ignored by
-``leaks`` and kept by ``without_leaks``.
+than ``shortest`` words is too common a phrase to prove a leak and finds nothing
+(of fewer than four words no mask fits, so these have to appear word by word).
+Null and empty texts have no leak; repeated documents are answered each, repeated
+items (id and text) once; a null id is kept; an empty table on either side gives no
+row. Other columns are ignored by ``leaks`` and kept by ``without_leaks``.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -39,24 +45,31 @@ MASKS = (
 SHORT_MASKS = ("1111", "11011", "10111", "11101")  # of items shorter than the first mask: one of 5 to 7 words may differ
 OVERLAP, SAME, SHORTEST = 12, 0.8, 5
 _WHOLE, _SHARE = 5, 4  # SAME as a fraction of whole numbers
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
+# Thai, Lao, Tibetan, Burmese, Khmer; Chinese and Japanese signs with their repeat marks
+ALONE = "\u0e01-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+_ALONE, _POINTS = re.compile(f"[{ALONE}]"), re.compile("[\u3000-\u3004\u3008-\u3030\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 LEAKS = "doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_words bigint, n_same bigint, identity double"
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _TEXTS = 512
+_HITS = 1 << 18
 _KINDS = [pa.int64()] * 6 + [pa.float64()]
 _NAMES = [c.split()[0] for c in LEAKS.split(", ")]
 
 
 def words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_PLAIN).split()
+    text = (text or "").lower()
+    if not text.isascii() and _ALONE.search(text):
+        text = _ALONE.sub(r" \g<0> ", _POINTS.sub(" ", text))
+    return text.encode().translate(_PLAIN).split()
 
 
 class Index:
     """The windows of a block of items under every mask."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], masks: tuple[str, ...] = MASKS):
+    def __init__(self, items: list[tuple[int | None, str | None]], masks: tuple[str, ...] = MASKS, shortest: int = SHORTEST):
         cut = [(item, words(text)) for item, text in items]
-        cut = [(item, w) for item, w in cut if len(w) >= SHORTEST]
+        cut = [(item, w) for item, w in cut if len(w) >= max(shortest, 1)]
         self.items = [item for item, _ in cut]
         self.vocabulary: dict[bytes, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], dtype=np.int64) for _, found in cut]
@@ -65,7 +78,7 @@ class Index:
         shapes = {mask: [k for k, w in enumerate(self.words) if len(w) >= len(mask)] for mask in masks}
         for k, found in enumerate(self.words):
             if len(found) < len(masks[0]):
-                for mask in SHORT_MASKS:
+                for mask in SHORT_MASKS if len(found) >= len(SHORT_MASKS[0]) else ("1" * len(found),):
                     shapes.setdefault(mask, []).append(k)
         self.seeds = []
         for mask, own in shapes.items():
@@ -114,21 +127,33 @@ class Index:
                 continue
             wanted = self._keys(ids, starts, places, turn)
             low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-            for k in np.flatnonzero(high > low):
-                doc = int(np.searchsorted(begins, starts[k], "right")) - 1
-                where = int(starts[k] - begins[doc])
-                for hit in range(low[k], high[k]):
-                    item, shift = int(of[hit]), where - int(at[hit])
-                    if (doc, item, shift) in seen:
-                        continue
-                    seen.add((doc, item, shift))
-                    for leak in self._overlaps(cut[doc], self.words[item], shift):
-                        if (doc, item) not in best or leak[2:] > best[doc, item][2:]:
-                            best[doc, item] = leak
+            for doc, item, shift in self._alignments(starts, low, high, of, at, begins):
+                if (doc, item, shift) in seen:
+                    continue
+                seen.add((doc, item, shift))
+                for leak in self._overlaps(cut[doc], self.words[item], shift):
+                    if (doc, item) not in best or self._order(leak) > self._order(best[doc, item]):
+                        best[doc, item] = leak
         for (doc, item), leak in sorted(best.items()):
             result[doc].append((self.items[item], *leak))
         return result
 
+    @staticmethod
+    def _order(leak: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
+        return leak[2], leak[3], -leak[0], -leak[1]
+
+    @staticmethod
+    def _alignments(starts, low, high, of, at, begins) -> Iterator[tuple[int, int, int]]:
+        """The different (document, item, shift) of the hits, ``_HITS`` or few more at a time."""
+        hit = np.flatnonzero(high > low)
+        counts = (high - low)[hit]
+        runs = np.flatnonzero(np.diff(np.cumsum(counts) // _HITS)) + 1
+        for own, n in zip(np.split(hit, runs), np.split(counts, runs)):
+            doc = np.searchsorted(begins, starts[own], "right") - 1
+            place = np.arange(n.sum()) + np.repeat(low[own] - (np.cumsum(n) - n), n)
+            shift = np.repeat(starts[own] - begins[doc], n) - at[place]
+            yield from map(tuple, np.unique(np.stack([np.repeat(doc, n), of[place], shift], axis=1), axis=0).tolist())
+
     @staticmethod
     def _overlaps(doc: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, int, int, int]]:
         """The longest stretch of the item laid over the document at ``shift`` of which
@@ -152,21 +177,25 @@ class Index:
         return [(first + start + shift, first + start, n, hits)]
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
-    own = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).alias("text"))
-    total = own.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+def _blocks(items: DataFrame, item_col: str, text_col: str, shortest: int) -> Iterator[Index]:
+    own = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).alias("text")).distinct()
+    blanks = F.size(F.split("text", r"\s+"))
+    alone = F.length(F.regexp_replace("text", f"[^{ALONE}]+", ""))
+    total = own.agg(F.sum(blanks + alone)).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_WORDS))
     for block in range(n):
         part = own if n == 1 else own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == block)
-        yield Index([(r["item"], r["text"]) for r in part.collect()])  # a block of bounded size
+        yield Index([(r["item"], r["text"]) for r in part.collect()], shortest=shortest)  # a block of bounded size
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document and item of which it holds a leak."""
+def leaks(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = SHORTEST
+) -> DataFrame:
+    """A row for each document and item, of at least ``shortest`` words, of which it holds a leak."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     found = spark.createDataFrame([], LEAKS)
-    for index in _blocks(items, item_col, item_text):
+    for index in _blocks(items, item_col, item_text, shortest):
         shared = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -183,10 +212,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     return found
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def without_leaks(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = SHORTEST
+) -> DataFrame:
     """The documents that hold no leak, as they are."""
     ship(docs.sparkSession)
-    for index in _blocks(items, item_col, item_text):
+    for index in _blocks(items, item_col, item_text, shortest):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         @F.pandas_udf("boolean")
