@@ -21,7 +21,7 @@ from array import array
 
 import numpy as np
 
-PIECES_KEPT = 350_000  # bound of a worker's table of pieces; it starts anew beyond
+PIECES_KEPT = 600_000  # bound of a worker's table of pieces, some 100 MB; it starts anew beyond
 _TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation without the apostrophe of contractions
 _MARK = "\0"  # in front of a piece that has no space before it
 _LOADED: dict[str, Encoder] = {}
