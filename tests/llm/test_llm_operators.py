@@ -467,6 +467,20 @@ def test_packing(spark, odd, none, sf_dir):
     assert not packing.pack(none, queries.WORD_TOKENIZER, 1).collect()
 
 
+def test_packing_ranges_hold_like_numbers_of_tokens(spark, monkeypatch):
+    """Long documents of one kind lie together on the curve, and are cut into ranges by their tokens."""
+    monkeypatch.setattr(packing, "parts", lambda df: 16)
+    monkeypatch.setattr(packing, "GRAIN", 32)
+    rows = [(k, " ".join(["alpha", "beta"][: 1 + k % 2] * (400 if k % 10 == 0 else 4)) + f" {k % 10 and k}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pieces = packing.pack(docs, queries.WORD_TOKENIZER, 1).withColumn("range", F.spark_partition_id())
+    sizes = [r["n"] for r in pieces.groupBy("range").agg(F.sum("length").alias("n")).collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    rows = pieces.collect()
+    assert sum(r["length"] for r in rows) == sum({r["doc_id"]: r["doc_tokens"] for r in rows}.values())
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+
+
 def test_surrogates(spark, odd, none):
     lines = [
         "mail und.34@mail7.example.com and UND.34@MAIL7.EXAMPLE.COM, then bo@x.org.",

@@ -9,8 +9,10 @@ multiple of the sequence length gives sequences without padding but in the last.
 The curve's ties (copies share a cell, whatever their number) are ordered by a
 checksum of id and place, so a cell with a third of all rows still spreads over
 tasks. Ids are encoded once and written with their place on the curve; the bounds
-of the ranges and their token counts come from that table's two small columns, and
-only then are the ids shuffled, once, straight to their range.
+of the ranges and their token counts come from that table's two small columns. A
+document has a vote for the bounds for each ``GRAIN`` of its tokens, and for the rest
+by chance, so that ranges hold like numbers of tokens; only then are the ids
+shuffled, once, straight to their range.
 
 Null and empty texts have the end token alone; rows with equal or null ids are
 documents of their own; an empty table gives no piece; other columns are ignored.
@@ -33,6 +35,7 @@ from .tokens import encoder, slices, text_list
 
 DIMS, BITS, WIDTH, SEED = 3, 10, 64, 11
 TIE_BITS = 32
+GRAIN = 512  # tokens behind a vote for the bounds of the ranges
 _CODED = "doc_id bigint, place bigint, n bigint, ids binary"
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -119,16 +122,10 @@ def pack(
     width = 2 if end_id < 1 << 16 and encoder(tokenizer).width == 2 else 4
     ranges = parts(docs)
     table = encoded(docs, tokenizer, end_id, id_col, text_col)
-    found = (
-        table.select("place", "n")
-        .repartitionByRange(ranges, "place")
-        .groupBy(F.spark_partition_id().alias("range"))
-        .agg(F.max("place").alias("last"), F.sum("n").alias("n"))
-        .collect()  # a row per range
-    )
-    found.sort(key=lambda r: r["last"])
-    lasts = np.array([r["last"] for r in found], dtype=np.int64)
-    bases = np.concatenate([[0], np.cumsum([r["n"] for r in found])]).astype(np.int64)
+    share = F.pmod(F.xxhash64("place"), F.lit(1 << 20)) / (1 << 20)
+    grains = table.select("place", F.explode(F.array_repeat(F.lit(0), F.floor(F.col("n") / GRAIN + share).cast("int"))))
+    bounds = grains.repartitionByRange(ranges, "place").groupBy(F.spark_partition_id()).agg(F.max("place").alias("last")).collect()  # a row per range
+    lasts = np.array(sorted(r["last"] for r in bounds), dtype=np.int64)
 
     @F.pandas_udf("int")
     def range_of(place):
@@ -136,6 +133,11 @@ def pack(
 
         return pd.Series(np.minimum(np.searchsorted(lasts, place.to_numpy(), "left"), max(len(lasts) - 1, 0)).astype(np.int32))
 
+    sums = np.zeros(max(len(lasts), 1) + 1, dtype=np.int64)
+    for row in table.groupBy(range_of("place").alias("range")).agg(F.sum("n").alias("n")).collect():
+        sums[row["range"] + 1] = row["n"]
+    bases = np.cumsum(sums)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, at = None, 0
         for batch in batches:
