@@ -211,6 +211,18 @@ def test_stream_takes_up_where_it_stopped(spark, sf_dir, tmp_path):
     assert run().count() == n + 5
 
 
+def test_stream_reads_a_table_of_several_files(spark, sf_dir, tmp_path):
+    def run(name):
+        rows = S.document_stream(spark, str(tmp_path)).select(F.lit(None).cast("string").alias("url"), F.col("text").alias("description"), F.lit("").alias("tags"), F.lit("").alias("tags_suggest"))
+        return S.stream_suggestions(rows, scratch_path(spark, name), scratch_path(spark, f"{name}-state"))
+
+    assert run("none").collect() == [] and "postAt" in run("none").columns  # the table is not there yet
+    docs = T.table(spark, sf_dir, "documents")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert run("some").count() == docs.count() > 0
+    assert queries()["stream_suggestions"](spark, str(tmp_path)).count() == docs.count()
+
+
 def test_detect_refuses_and_answers(spark, sf_dir):
     documents = T.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     resources = S.Resources(language=G.train_language_model(documents))
