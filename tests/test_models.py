@@ -4,6 +4,7 @@ import glob
 import math
 import os
 import shutil
+import time
 
 import duckdb
 import numpy as np
@@ -123,6 +124,48 @@ def test_solvers_reach_the_optimum(monkeypatch):
     assert [cost for cost, _, _ in found] == pytest.approx([cost for cost, _, _ in costs([0.5, 10.0, 1000.0])], rel=0.05)
 
 
+def test_margins_of_many_models_follow_their_weights():
+    """A model costs its own weights, not all entries and columns again."""
+    rng = np.random.default_rng(4)
+    n, width = 100, 50_000
+    row, col = np.repeat(np.arange(n), 2_000), rng.integers(0, width, n * 2_000)
+    x = A.Entries(row, col, rng.random(len(row)), n)
+    models = [(np.sort(rng.choice(width, 3, False)), rng.normal(size=3), float(k)) for k in range(5_000)]
+    models[7] = (np.zeros(0, dtype=np.int64), np.zeros(0), -1.0)
+    began = time.time()
+    found = A.margins_l1(x, models, width)
+    assert time.time() - began < 4
+    for k in (0, 7, 4_999):
+        whole = np.zeros(width)
+        whole[models[k][0]] = models[k][1]
+        assert np.allclose(found[:, k], np.bincount(row, x.val * whole[col], n) + models[k][2])
+    assert A.margins_l1(x, [], width).shape == (n, 0)
+
+
+def test_few_classes_are_scored_by_term(spark, sf_dir, monkeypatch):
+    """Language models score a row by its terms, not by products with every fit row."""
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model, names = N.train_language_model(docs, "text", "lang")
+    f = model.fitted
+    through_rows = A.cross(f.x, f.x, len(f.keys)) @ f.weights + f.weights.sum(0)
+    monkeypatch.setattr(A, "cross", None)
+    assert np.allclose(f.margins(f.x), through_rows) and len(names) == through_rows.shape[1]
+    assert "by_term" not in f.__getstate__()
+
+
+def test_only_known_terms_leave_the_counting_tasks(spark, monkeypatch):
+    words = [f"w{k % 7} x{k % 3} y{k}" for k in range(90)]
+    df = spark.createDataFrame([(k, w, ["a"]) for k, w in enumerate(words)], "doc_id bigint, text string, labels array<string>")
+    plans, whole = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or whole(self))
+    rows = N.corpus(df, ["a"], "text", "labels", (1, 2), folds=3, fit_rows=20)
+    (plan,) = [p for p in plans if "LeftSemi" in p]
+    assert plan.rindex("HashAggregate") < plan.index("LeftSemi")  # joined below the sums
+    monkeypatch.setattr(N, "KNOWN_ROWS", 0)
+    other = N.corpus(df, ["a"], "text", "labels", (1, 2), folds=3, fit_rows=20)
+    assert (rows.df == other.df).all() and (rows.keys == other.keys).all() and rows.df.sum() > 0
+
+
 def test_huffman_tree():
     counts = [50, 1, 1, 20, 8, 8, 0]
     tree = N.Tree.of(counts)
