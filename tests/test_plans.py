@@ -162,3 +162,32 @@ def test_topn_and_threshold_bounds(spark):
     assert {r["count"] for r in few} == {2}
     assert L.threshold_labels(df, 5, 0.99).count() == 3
     assert L.threshold_labels(df, 5, 0.99, at_least_one=False).count() == 0
+
+
+def test_a_large_dictionary_is_one_pass(spark, monkeypatch):
+    """Texts are read once for 250,000 entries (2.5 million characters)."""
+    monkeypatch.setattr(J, "scratch_path", None)  # there would be a table of hits for each shard
+    entries = spark.range(250_000).select(F.concat(F.lit("w"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("entry"))
+    docs = spark.createDataFrame([(1, "xw000000007w000249999 w000250000"), (2, None), (1, "w000000007w000000007")], "id bigint, text string")
+    found = J.search(docs, "id", F.col("text"), entries)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "w000000007", 1), (1, "w000000007", 2), (1, "w000249999", 1)]
+
+
+def test_phrases_of_records_with_one_key_are_summed(spark):
+    dictionary = J.prepare_dictionary(spark.createDataFrame([("Go", "golang"), ("Rust", "golang")], "label string, tagID string"))
+    docs = spark.createDataFrame([(1, "Go Rust x"), (1, "Go"), (2, "go")], "doc_id bigint, text string")
+    found = J.phrase_match(docs, dictionary, F.col("text")).collect()
+    assert sorted(tuple(r) for r in found) == [(1, "golang", 3), (2, "golang", 1)]
+
+
+def test_patterns_with_equal_hashes_are_told_apart(monkeypatch):
+    import pyarrow as pa
+
+    from topicspark.operators import patterns as Q
+
+    monkeypatch.setattr(Q, "_mixed", lambda h: h & Q.np.uint64(3))  # nearly all hashes agree
+    words = ["abcd", "abce", "bcde", "a", "b", "abcdeabcdeabcde"]
+    texts = ["abcdeabcdeabcdeabce", None, "", "zabceb"]
+    at, target, n = Q.Patterns(pa.array(words), pa.array(words)).search(texts)
+    got = {(a, words[t]): c for a, t, c in zip(at.tolist(), target.tolist(), n.tolist())}
+    assert got == {(k, w): c for k, t in enumerate(texts) for w in words if (c := sum((t or "").startswith(w, i) for i in range(len(t or ""))))}
