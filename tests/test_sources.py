@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from topicspark import fixed_values as V
 from topicspark.operators import filters as P
 from topicspark.operators import labels as L
@@ -134,3 +135,15 @@ def test_publisher_defaults(spark):
     rows = spark.createDataFrame([(1, '{"data":{"article_title":"T","author":[{"nickname":"n"}]}}')], "id int, payload string")
     out = P.publisher_projection(rows, "payload", H.html_to_text).first()
     assert (out["fulltext"], out["title"], out["creators"], out["tags"]) == ("", "T", ["n"], [])
+
+
+@pytest.mark.parametrize("name, passes", [("fasttext_lines", 1), ("iterative_stratified_split", 1), ("dataset_dump", 2)])
+def test_labels_are_cut_from_the_texts_once(spark, monkeypatch, name, passes):
+    """A dump's labels are counted first and stored with the cleaned texts then: two passes."""
+    sf = "/root/testdata/sf0.01"
+    seen = spark.sparkContext.accumulator(0)
+    met = F.udf(lambda x: seen.add(1) or x, "string")
+    whole = T.infos
+    monkeypatch.setattr(T, "infos", lambda *a, **b: whole(*a, **b).withColumn("tags", F.when(met("language").isNotNull(), F.col("tags"))))
+    assert queries()[name](spark, sf).count() > 0
+    assert 0 < seen.value <= passes * T.table(spark, sf, "documents").count()
