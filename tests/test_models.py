@@ -5,6 +5,7 @@ import math
 import os
 import shutil
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,6 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
+from topicspark.functions import text as X
+from topicspark.operators import grams as W
 from topicspark.operators import labels as L
 from topicspark.operators import language as G
 from topicspark.operators import linear as A
@@ -304,3 +307,25 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_grams_of_a_batch_are_those_of_each_row(spark):
+    texts = ["aa bb aa bb aa", "", None, "bb  aa", "é　ß😀x", "aa"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    for analyzer, cut in (("word", lambda n: X.token_ngrams(X.words(F.col("text")), n, n)), ("char", lambda n: X.char_ngrams(F.col("text"), n, n))):
+        units = df.select(W.units(F.col("text"), analyzer).alias("u")).toArrow().column("u").combine_chunks()
+        for n in (1, 2, 3, 4):
+            row, term, times, size = W.row_terms(units, range(n, n + 1))
+            plain = [sorted(Counter(r[0] or []).values()) for r in df.select(cut(n)).collect()]
+            assert [sorted(times[row == k].tolist()) for k in range(len(texts))] == plain and set(size.tolist()) <= {n}
+            assert len(set(term.tolist())) == len({g for r in df.select(cut(n)).collect() for g in r[0] or []})
+    assert [(a, b) for a, b in W.slices(units)] == [(0, 6)] and list(W.slices(units[:0])) == []
+
+
+def test_texts_reach_the_counting_tasks_uncut(spark, monkeypatch):
+    """No n-gram of a row is a row, or an element of an array, of a Spark plan."""
+    df = spark.createDataFrame([(k, f"text {k} of some rows", "en" if k % 2 else "fr") for k in range(20)], "doc_id bigint, text string, lang string")
+    plans, whole = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: plans.append(self._jdf.queryExecution().toString()) or whole(self))
+    N.language_grid_search(df, folds=2, text="text", language="lang", grid={"ngrams": [(1, 2)], "analyzer": ["char"], "use_idf": [True]}).collect()
+    assert plans and not any("regexp_extract_all" in p or "Generate" in p for p in plans)
