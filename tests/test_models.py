@@ -329,3 +329,28 @@ def test_texts_reach_the_counting_tasks_uncut(spark, monkeypatch):
     monkeypatch.setattr(type(df), "toArrow", lambda self: plans.append(self._jdf.queryExecution().toString()) or whole(self))
     N.language_grid_search(df, folds=2, text="text", language="lang", grid={"ngrams": [(1, 2)], "analyzer": ["char"], "use_idf": [True]}).collect()
     assert plans and not any("regexp_extract_all" in p or "Generate" in p for p in plans)
+
+
+def test_language_sums_stay_in_the_row(spark, sf_dir, monkeypatch):
+    """A record is one row in front of the shuffle; a model that is not sent to the tasks scores the same."""
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "text", "lang").limit(60)
+    odd = spark.createDataFrame([(-1, None, "en"), (-2, "", "fr"), (-3, "ab", "en"), (-3, "\U0001f600 \u3000x\n", "de")], docs.schema)
+    rows = docs.unionByName(odd)
+    model = G.train_language_model(docs)
+    scored = G.language_scores(rows, model, F.col("text"))
+    assert "Generate" not in scored._jdf.queryExecution().executedPlan().toString()
+
+    def plain(df):
+        return {r["doc_id"]: [round(v, 4) for v in r["scores"]] for r in df.collect()}
+
+    monkeypatch.setattr(G, "MODEL_CELLS", 0)
+    few = plain(scored)
+    assert few == plain(G.language_scores(rows, model, F.col("text"))) and len(few) == 63
+    weights = {r["gram"]: r["w"] for r in model.grams.collect()}
+    assert few[-1] == few[-2] == [round(math.log(p), 4) for p in model.priors]
+    one = docs.first()
+    found = [r for r in rows.where(F.col("doc_id") == one["doc_id"]).select(F.explode(X.char_ngrams(F.col("text"), 3, 3))).collect()]
+    numbers = [(ord(r[0][0]) << 42) | (ord(r[0][1]) << 21) | ord(r[0][2]) for r in found]
+    for i in range(len(model.languages)):
+        want = math.log(model.priors[i]) + sum(weights[g][i] for g in numbers) - len(numbers) * math.log(model.totals[i])
+        assert few[one["doc_id"]][i] == pytest.approx(want, abs=1e-3)
