@@ -193,3 +193,20 @@ def test_full_detection_has_model_and_dictionary_tags(spark, sf_dir):
     found = streams.QUERIES["stream_detect_model"](spark, sf_dir).collect()
     assert len(found) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all((r["tags"] is None) == (not r["valid"]) for r in found) and any(r["tags"] for r in found)
+
+
+def test_hits_leave_a_task_in_small_batches(spark, monkeypatch):
+    """Memory of a task follows the texts of a slice, not the hits of a whole batch."""
+    from topicspark.operators import grams, matching
+
+    ran, seen, searched = [], [], matching.Patterns.search
+    monkeypatch.setattr(grams, "SLICE", 100)
+    monkeypatch.setattr(matching.Patterns, "search", lambda self, texts: seen.append(len(texts)) or searched(self, texts))
+    monkeypatch.setattr(matching, "in_batches", lambda df, of, schema: ran.append(of) or df.mapInArrow(of, schema))
+    df = spark.createDataFrame([(k, "abcabc" * 5) for k in range(20)], "doc_id bigint, text string")
+    pairs = spark.createDataFrame([("abc", "x"), ("bca", "y"), ("é\U0001f600", "z")], "entry string, target string")
+    matching.search_lists(df, "doc_id", df.text, pairs)
+    (batch,) = df.toArrow().combine_chunks().to_batches()
+    out = list(ran[0](iter([batch])))
+    assert max(seen) <= 3 and sum(seen) == 20 and [b.num_rows for b in out] == seen
+    assert all(r["found"] == [{"target": "x", "n": 10}, {"target": "y", "n": 9}] for b in out for r in b.to_pylist())
