@@ -232,3 +232,13 @@ def test_all_named_references(spark):
     names = sorted(html.entities.html5)
     texts = [f"a&{name}" for name in names] + [f"a&{name} z" for name in names] + [f"&#{k};" for k in (9, 65, 0x80, 0x9F, 0x1F600, 0xD800, 0x110000, 10**20)]
     assert column(spark, texts, H.decode_entities) == [html.unescape(t) for t in texts]
+
+
+def test_ngrams_are_not_columns_of_rows(spark, sf_dir):
+    from topicspark.registry import texts
+
+    for name in ("char_ngrams", "word_ngrams"):
+        df = texts.QUERIES[name](spark, sf_dir)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("md5(") == 1 and "AS g#" not in plan
+    assert column(spark, ["", None, "a"], lambda c: X.char_ngrams(c, 1, 2)) == [[], None, ["a"]]
