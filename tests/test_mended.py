@@ -210,3 +210,18 @@ def test_hits_leave_a_task_in_small_batches(spark, monkeypatch):
     out = list(ran[0](iter([batch])))
     assert max(seen) <= 3 and sum(seen) == 20 and [b.num_rows for b in out] == seen
     assert all(r["found"] == [{"target": "x", "n": 10}, {"target": "y", "n": 9}] for b in out for r in b.to_pylist())
+
+
+def test_a_dataset_cuts_labels_once_and_stores_the_columns_asked_for(spark, sf_dir, monkeypatch):
+    from topicspark.plans import dataset as D
+    from topicspark.registry import models
+    from topicspark.sources import tables as T
+
+    kept, whole = [], models.stored
+    monkeypatch.setattr(models, "stored", lambda df: kept.append(df) or whole(df))
+    rows, classes = models.dataset(spark, sf_dir, 5, ["title"])
+    (df,) = kept
+    assert df.columns == ["doc_id", "title", "labels"] and df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 0
+    assert "split(" not in rows._jdf.queryExecution().optimizedPlan().toString()  # later passes read the labels stored
+    old, names = D.with_targets(D.build_dataset(T.infos(spark, sf_dir), language="en", filter_tags_threshold=5, concat_title=True))
+    assert classes == names and sorted(map(str, rows.select("doc_id", "title", "labels").collect())) == sorted(map(str, old.select("doc_id", "title", "labels").collect()))
