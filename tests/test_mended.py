@@ -1,5 +1,7 @@
 """Cases that once went wrong: keys of other types, repeated keys, nothing to do."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from topicspark.operators import labels as L
@@ -225,3 +227,31 @@ def test_a_dataset_cuts_labels_once_and_stores_the_columns_asked_for(spark, sf_d
     assert "split(" not in rows._jdf.queryExecution().optimizedPlan().toString()  # later passes read the labels stored
     old, names = D.with_targets(D.build_dataset(T.infos(spark, sf_dir), language="en", filter_tags_threshold=5, concat_title=True))
     assert classes == names and sorted(map(str, rows.select("doc_id", "title", "labels").collect())) == sorted(map(str, old.select("doc_id", "title", "labels").collect()))
+
+
+def test_tfidf_of_rare_terms_moves_few_rows(spark, monkeypatch):
+    from topicspark.operators import tfidf as I
+    from topicspark.plans import lookups
+
+    rows = [(k, f"all some{k % 3} rare{k // 2} own{k} own{k}") for k in range(30)] + [(30, None), (31, ""), (32, "all"), (0, "rare0 all")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def found():
+        return {(r["doc_id"], r["term"]): round(r["tfidf"], 9) for r in I.tfidf(df, "text", 0.8).collect()}
+
+    whole = found()
+    assert not any(t == "all" for _, t in whole) and len(whole) == 90
+    n, by_key = len(rows), {}
+    for k, text in rows:
+        by_key[k] = by_key.get(k, []) + (text or "").split()
+    seen = [set((text or "").split()) for _, text in rows]
+    weight = {(k, t): ws.count(t) * (math.log((1 + n) / (1 + sum(t in s for s in seen))) + 1) for k, ws in by_key.items() for t in set(ws) if t != "all"}
+    norm = {k: math.sqrt(sum(w * w for (j, _), w in weight.items() if j == k)) for k in by_key}
+    assert whole == {(k, t): round(w / norm[k], 9) for (k, t), w in weight.items()}
+    shuffled = []
+    for bound in (0, 1, 4, 20):  # some of the terms are broadcast, or none
+        monkeypatch.setattr(lookups, "BROADCAST_ROWS", bound)
+        assert found() == whole
+        shuffled.append(I._frequent(I.each(df, I.F.array_distinct(I.X.words(I.F.col("text"))), "term").groupBy("term").agg(I.F.count("*").alias("df"))))
+    assert shuffled == [None, 32, 8, 2]
+    assert "_salt" not in I.tfidf(df, "text")._jdf.queryExecution().toString()
