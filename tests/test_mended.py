@@ -255,3 +255,27 @@ def test_tfidf_of_rare_terms_moves_few_rows(spark, monkeypatch):
         shuffled.append(I._frequent(I.each(df, I.F.array_distinct(I.X.words(I.F.col("text"))), "term").groupBy("term").agg(I.F.count("*").alias("df"))))
     assert shuffled == [None, 32, 8, 2]
     assert "_salt" not in I.tfidf(df, "text")._jdf.queryExecution().toString()
+
+
+def test_keywords_stay_in_their_text(spark):
+    rows = spark.createDataFrame([(1, "apple berry apple"), (1, "cherry dates cherry"), (2, "berry"), (None, "apple berry"), (3, "Zebra äpfel zebra apple")], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["keywords"] for r in K.keywords(rows, "text").collect()}
+    assert found == {1: ["apple", "berry", "cherry", "dates"], 2: [], None: [], 3: ["apple", "zebra", "äpfel"]}
+    one = K.keywords(rows.where("doc_id > 1"), "text", unique=True)
+    assert {r["doc_id"]: r["keywords"] for r in one.collect()} == {2: [], 3: ["apple", "zebra", "äpfel"]}
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dictionary_and_model_read_texts_apart(spark):
+    from topicspark.operators import matching as J
+    from topicspark.streaming import detection as S
+
+    class Model:
+        def apply(self, rows, text):
+            return rows.mapInArrow(lambda batches: batches, rows.schema).withColumn("predicted", F.array(F.lit("m")))
+
+    texts = spark.createDataFrame([(1, "a long phrase here", "t")], "doc_id bigint, text string, title string")
+    entries = J.prepare_dictionary(spark.createDataFrame([("long phrase", "long-phrase")], "label string, tagID string"))
+    tagged = S._tagged(texts, S.Resources(model=Model(), dictionary=entries), False)
+    assert tagged.first()["tags"] == ["long-phrase", "m"]
+    assert tagged._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # one for the model, one for the dictionary
