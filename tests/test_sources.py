@@ -147,3 +147,12 @@ def test_labels_are_cut_from_the_texts_once(spark, monkeypatch, name, passes):
     monkeypatch.setattr(T, "infos", lambda *a, **b: whole(*a, **b).withColumn("tags", F.when(met("language").isNotNull(), F.col("tags"))))
     assert queries()[name](spark, sf).count() > 0
     assert 0 < seen.value <= passes * T.table(spark, sf, "documents").count()
+
+
+def test_an_empty_dump_has_its_columns(spark):
+    rows = spark.createDataFrame([], "doc_id bigint, labels array<string>, split string")
+    classes = spark.createDataFrame([], "label string, idx bigint")
+    home = scratch_path(spark, "dump")
+    stores.dataset_dump(rows, classes, home, "v1")
+    data, names = stores.read_dump(spark, home, "v1")
+    assert data.select("doc_id", "labels", "split").collect() == names.select("label", "idx").collect() == []
